@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import wordhash
+from quarry.llm import packed, wordhash
 from quarry.llm.components import components
 from quarry.llm.tables import written
 from quarry.llm.wordhash import U
@@ -93,46 +93,6 @@ def sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sig long")
 
 
-def _dealt(bucket: np.ndarray, rows: np.ndarray, kind: int):
-    """Record batches (bucket, kind, payload): rows, a 2-d or structured array, cut by bucket."""
-    if not len(rows):
-        return
-    order = np.argsort(bucket, kind="stable")
-    bucket, rows = bucket[order], rows[order]
-    first, length = wordhash.runs(bucket)
-    data = [rows[f : f + k].tobytes() for f, k in zip(first, length)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), pa.array(data, pa.binary())],
-        ["bucket", "kind", "payload"],
-    )
-
-
-_BLOCKS = "bucket int, kind int, payload binary"
-
-
-def _bucketed(batches):
-    """(bucket, {kind: bytes}) from rows sorted by bucket."""
-    last, found = None, {}
-    for batch in batches:
-        for bucket, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if bucket != last and found:
-                yield last, {k: b"".join(v) for k, v in found.items()}
-                found = {}
-            last = bucket
-            found.setdefault(kind, []).append(payload.as_buffer())
-    if found:
-        yield last, {k: b"".join(v) for k, v in found.items()}
-
-
-def _buckets(df: DataFrame) -> int:
-    return max(2048, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _by_bucket(blocks: DataFrame) -> DataFrame:
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket")
-
-
 _POSTING = np.dtype([("t", "<u8"), ("s", "<u8")])
 
 
@@ -158,7 +118,7 @@ def _live_runs(t: np.ndarray, s: np.ndarray):
 
 def prefix_survivors(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """classes(sig, n, rep) of which enough tokens of the hash-order prefix occur in other classes."""
-    buckets = _buckets(docs)
+    buckets = packed.buckets(docs)
 
     def deal(batches):
         held_t, held_s, seen, held = [], [], set(), 0
@@ -174,10 +134,10 @@ def prefix_survivors(docs: DataFrame, classes: DataFrame, size: int, percent: in
             head[first] = True
             out = head | ~live
             rows = np.concatenate([_pack6(t[out]), _pack6(s[out]), live[out].astype(np.uint8)[:, None]], axis=1)
-            yield from _dealt((t[out] % U(buckets)).astype(np.int64), rows, 0)
+            yield from packed.dealt((t[out] % U(buckets)).astype(np.int64), rows, 0)
             if live.any():
                 names, counts = np.unique(s[live], return_counts=True)
-                yield from _dealt((names % U(buckets)).astype(np.int64), np.stack([names, counts.astype(U)], 1), 1)
+                yield from packed.dealt((names % U(buckets)).astype(np.int64), np.stack([names, counts.astype(U)], 1), 1)
 
         for batch in batches:
             for _, tokens in shingle_sets(batch.column(0), size):
@@ -196,7 +156,7 @@ def prefix_survivors(docs: DataFrame, classes: DataFrame, size: int, percent: in
 
     def count(batches):
         names, counts = [], []
-        for _, found in _bucketed(batches):
+        for _, found in packed.grouped(batches):
             if 0 in found:
                 rows = np.frombuffer(found[0], np.uint8).reshape(-1, 13)
                 t, s, flag = _unpack6(rows[:, :6]), _unpack6(rows[:, 6:12]), rows[:, 12] > 0
@@ -225,7 +185,7 @@ def prefix_survivors(docs: DataFrame, classes: DataFrame, size: int, percent: in
             c = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c)], ["s", "c"])
 
-    live = _by_bucket(docs.select("text").mapInArrow(deal, _BLOCKS)).mapInArrow(count, "s long, c long")
+    live = packed.by_bucket(docs.select("text").mapInArrow(deal, packed.BLOCKS)).mapInArrow(count, "s long, c long")
     live = live.groupBy("s").agg(F.sum("c").alias("c"))
     least = F.expr("1 + floor(n / 12)")
     return classes.where("n > 0 AND rep IS NOT NULL").join(live, F.col("sig").bitwiseAND(F.lit(_48)) == F.col("s")).where(
@@ -239,7 +199,7 @@ def rare_prefixes(docs: DataFrame, survivors: DataFrame, size: int, percent: int
     tokens: the hashes, sorted, that another survivor has too, as bytes; the others can't be in any
     intersection. prefix: those within the first n - ceil(percent n / 100) + 1, rarest first.
     """
-    buckets = _buckets(docs)
+    buckets = packed.buckets(docs)
     few = survivors.count() <= BROADCAST_ROWS
     chosen = survivors.select(F.col("rep").alias("_rep"), F.col("sig").alias("_sig"))
     texts = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("_rep")).select("_rep", "_sig", "text")
@@ -256,17 +216,17 @@ def rare_prefixes(docs: DataFrame, survivors: DataFrame, size: int, percent: int
                     held += len(rows)
                     if held >= COMBINED:
                         every = np.concatenate(parts)
-                        yield from _dealt((every["t"] % U(buckets)).astype(np.int64), every, 0)
+                        yield from packed.dealt((every["t"] % U(buckets)).astype(np.int64), every, 0)
                         parts, held = [], 0
             if parts:
                 every = np.concatenate(parts)
-                yield from _dealt((every["t"] % U(buckets)).astype(np.int64), every, 0)
+                yield from packed.dealt((every["t"] % U(buckets)).astype(np.int64), every, 0)
 
     back = np.dtype([("s", "<u8"), ("t", "<u8"), ("df", "<u4")])
 
     def weigh(batches):
         parts, held = [], 0
-        for _, found in _bucketed(batches):
+        for _, found in packed.grouped(batches):
             rows = np.frombuffer(found[0], _POSTING)
             t, s, live, first = _live_runs(rows["t"], rows["s"])
             df = np.repeat(np.diff(np.concatenate([first, [len(t)]])), np.diff(np.concatenate([first, [len(t)]])))
@@ -276,14 +236,14 @@ def rare_prefixes(docs: DataFrame, survivors: DataFrame, size: int, percent: int
             held += len(out)
             if held >= COMBINED:
                 every = np.concatenate(parts)
-                yield from _dealt((every["s"] % U(buckets)).astype(np.int64), every, 0)
+                yield from packed.dealt((every["s"] % U(buckets)).astype(np.int64), every, 0)
                 parts, held = [], 0
         if parts:
             every = np.concatenate(parts)
-            yield from _dealt((every["s"] % U(buckets)).astype(np.int64), every, 0)
+            yield from packed.dealt((every["s"] % U(buckets)).astype(np.int64), every, 0)
 
     def choose(batches):
-        for _, found in _bucketed(batches):
+        for _, found in packed.grouped(batches):
             if 0 not in found or 2 not in found:
                 continue
             rows, heads = np.frombuffer(found[0], back), np.frombuffer(found[2], "<i8").reshape(-1, 2)
@@ -309,11 +269,11 @@ def rare_prefixes(docs: DataFrame, survivors: DataFrame, size: int, percent: int
     def headers(batches):
         for batch in batches:
             heads = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1).astype("<i8")
-            yield from _dealt((heads[:, 0].astype(U) % U(buckets)).astype(np.int64), heads, 2)
+            yield from packed.dealt((heads[:, 0].astype(U) % U(buckets)).astype(np.int64), heads, 2)
 
-    weighed = _by_bucket(texts.mapInArrow(deal, _BLOCKS)).mapInArrow(weigh, _BLOCKS)
-    heads = survivors.select("rep", "n").mapInArrow(headers, _BLOCKS)
-    return _by_bucket(weighed.union(heads)).mapInArrow(choose, "rep long, n long, tokens binary, prefix array<long>")
+    weighed = packed.by_bucket(texts.mapInArrow(deal, packed.BLOCKS)).mapInArrow(weigh, packed.BLOCKS)
+    heads = survivors.select("rep", "n").mapInArrow(headers, packed.BLOCKS)
+    return packed.by_bucket(weighed.union(heads)).mapInArrow(choose, "rep long, n long, tokens binary, prefix array<long>")
 
 
 def _similar(na: int, a: np.ndarray, nb: int, b: np.ndarray, percent: int) -> bool:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, mixing, ngram_join, quality
+from quarry.llm import decontam, mixing, ngram_join, quality, recompress
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs.select("doc_id", "text"), rules).select("doc_id", *quality.BASE, "base_failed", "kept", "fired_rule")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS first_doc FROM s GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN f USING (h) WHERE doc_id > first_doc),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+k AS (
+  SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) AS kept, count(*) AS n
+  FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.p = c.p WHERE c.p IS NULL GROUP BY t.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select(
@@ -110,9 +130,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_join": op1_ngram_join,
         "op3_decontamination": op3_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
         "op9_source_mixing": op9_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op3_decontamination": OP3_SQL, "op9_source_mixing": OP9_SQL}
+    return {
+        "op1_ngram_join": OP1_SQL,
+        "op3_decontamination": OP3_SQL,
+        "op6_substring_dedup": OP6_SQL,
+        "op9_source_mixing": OP9_SQL,
+    }
