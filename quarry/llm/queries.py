@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, mixing, ngram_join, quality, recompress
+from quarry.llm import decontam, mixing, ngram_join, quality, recompress, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,22 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_page FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (1 + (((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT) >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM f
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -125,13 +141,19 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, size * repeats + e
 """
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op3_decontamination": op3_decontamination,
+        "op4_warc_salvage": op4_warc_salvage,
         "op5_quality_rules": op5_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
         "op9_source_mixing": op9_source_mixing,
+        "op10_secret_scans": op10_secret_scans,
     }
 
 
@@ -139,6 +161,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": OP1_SQL,
         "op3_decontamination": OP3_SQL,
+        "op4_warc_salvage": OP4_SQL,
         "op6_substring_dedup": OP6_SQL,
         "op9_source_mixing": OP9_SQL,
     }
