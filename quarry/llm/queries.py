@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, mixing, ngram_join, quality, recompress, secrets, warc
+from quarry.llm import decontam, langid, mixing, ngram_join, ppm, quality, recompress, secrets, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d AS doc_id, min(m) AS m FROM r G
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents"))))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -114,6 +118,19 @@ FROM w LEFT JOIN k USING (doc_id)
 """
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ppm.scored(table(spark, sf_dir, "documents"))
+    held = ppm.remainder(F.col("doc_id"), ppm.HELD_OUT_OF) == ppm.HELD_OUT
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = ppm.remainder(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held))
+    return langid.predicted(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select(
@@ -148,10 +165,13 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_token_counts": op2_token_counts,
         "op3_decontamination": op3_decontamination,
         "op4_warc_salvage": op4_warc_salvage,
         "op5_quality_rules": op5_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_lm_scoring": op7_lm_scoring,
+        "op8_language_id": op8_language_id,
         "op9_source_mixing": op9_source_mixing,
         "op10_secret_scans": op10_secret_scans,
     }
