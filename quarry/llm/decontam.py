@@ -11,7 +11,7 @@ at most more words, so no match is lost; the exact comparison undoes it.
 Edge cases: a null or wordless text has no words and no hits; a null or wordless item has no
 windows; an item shorter than a window is one window; repeated item_ids count once; repeated
 document rows get a row each, and null doc_ids are matched like any other value; other columns are
-ignored. Texts may have any length: positions are ints, and arrays never exceed a document.
+carried along. Texts may have any length: positions are ints, and arrays never exceed a document.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def phrase_index(docs: DataFrame, items: DataFrame, size: int = WINDOW, rarest:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """Each row of docs(doc_id, text) with n_words and matches: array<struct<item_ids, start, length>>.
+    """Each row of docs(doc_id, text, ..) with n_words and matches: array<struct<item_ids, start, length>>.
 
     A match is an occurrence of a window of an item, at document word `start`.
     """
@@ -151,7 +151,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, rarest
     )
     none = F.array().cast("array<struct<item_ids:array<string>,start:int,length:int>>")
     return (
-        docs.select("doc_id", "text")
+        docs.drop("n_words", "matches")
         .join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
         .withColumn("_w", raw_words(F.col("text")))
         .withColumn("n_words", F.size("_w").cast("long"))
@@ -161,8 +161,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, rarest
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, percent: int = 5) -> DataFrame:
-    """docs(doc_id, text) with n_words, n_hit, item_ids (sorted strings) and contaminated."""
-    found = phrase_matches(docs, items, size)
+    """docs(doc_id, text, ..) with n_words, n_hit, item_ids (sorted strings) and contaminated."""
+    found = phrase_matches(docs.drop("n_hit", "item_ids", "contaminated"), items, size)
     covered = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1))))
     named = F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["item_ids"]))))
     return (
