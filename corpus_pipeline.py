@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, mixing, ngram_join, quality, secrets
+from quarry.llm import decontam, mixing, ngram_join, quality, secrets, textcols
 from quarry.llm.tables import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
     rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judged(docs, rules).where("kept").select(*docs.columns)
+    return textcols.where_computed(quality.judged(docs, rules), F.col("kept")).select(*docs.columns)
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark passages."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.contamination(docs, items).where(~F.col("contaminated")).select(*docs.columns)
+    return textcols.where_computed(decontam.contamination(docs, items), ~F.col("contaminated")).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
