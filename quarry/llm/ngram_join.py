@@ -314,23 +314,34 @@ def _blocked(mixed: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     asks = rows.where("c <> _main").groupBy("t", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_all") / QUERY_BLOCK)).alias("_q")).agg(body.alias("y"))
 
     def run(batches):
+        top: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while top.setdefault(c, c) != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
         for batch in batches:
-            out = set()
+            out = []
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 arrays = [np.frombuffer(r["tokens"], U) for r in x]
                 lengths = np.array([len(v) for v in arrays])
                 offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 vocab, at = np.unique(np.concatenate(arrays), return_inverse=True)
-                n, c = np.array([r["n"] for r in x]), np.array([r["c"] for r in x])
+                n = np.array([r["n"] for r in x])
                 for q in y:
                     mark = np.zeros(len(vocab), np.int32)
                     own = np.frombuffer(q["tokens"], U)
                     spot = np.minimum(np.searchsorted(vocab, own), len(vocab) - 1)
                     mark[spot[vocab[spot] == own]] = 1
                     both = np.add.reduceat(mark[at], offsets)
-                    hit = (100 * both >= percent * (n + q["n"] - both)) & (c != q["c"])
-                    for k in np.flatnonzero(hit):
-                        out.add((q["rep"], x[k]["rep"]))
+                    # Of the links found, those that join what this task has not joined yet say it all.
+                    for k in np.flatnonzero(100 * both >= percent * (n + q["n"] - both)):
+                        a, b = root(q["c"]), root(x[k]["c"])
+                        if a != b:
+                            top[max(a, b)] = min(a, b)
+                            out.append((q["rep"], x[k]["rep"]))
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
