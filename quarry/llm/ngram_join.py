@@ -182,11 +182,18 @@ def prefix_survivors(docs: DataFrame, classes: DataFrame, size: int, percent: in
     def sums(names, counts):
         if names:
             k, inverse = np.unique(np.concatenate(names), return_inverse=True)
-            c = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+            rows = np.stack([k, np.bincount(inverse, np.concatenate(counts)).astype(U)], 1)
+            yield from packed.dealt((k % U(buckets)).astype(np.int64), rows, 0)
+
+    def total(batches):
+        for _, found in packed.grouped(batches):
+            rows = np.frombuffer(found[0], U).reshape(-1, 2)
+            k, inverse = np.unique(rows[:, 0], return_inverse=True)
+            c = np.bincount(inverse, rows[:, 1]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c)], ["s", "c"])
 
-    live = packed.by_bucket(docs.select("text").mapInArrow(deal, packed.BLOCKS)).mapInArrow(count, "s long, c long")
-    live = live.groupBy("s").agg(F.sum("c").alias("c"))
+    counted = packed.by_bucket(docs.select("text").mapInArrow(deal, packed.BLOCKS)).mapInArrow(count, packed.BLOCKS)
+    live = packed.by_bucket(counted).mapInArrow(total, "s long, c long")
     least = F.expr("1 + floor(n / 12)")
     return classes.where("n > 0 AND rep IS NOT NULL").join(live, F.col("sig").bitwiseAND(F.lit(_48)) == F.col("s")).where(
         F.col("c") >= least
