@@ -117,7 +117,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     for n in LENGTHS:
         cut = padded.where(F.length("w") >= n).select(
             "lang", "n", F.explode(F.expr(f"transform(sequence(1, length(w) - {n - 1}), i -> substr(w, i, {n}))")).alias("gram")
-        )
+        ).where("gram <> ' '")
         grams[n] = _table(_counts(cut, "gram", MOST_GRAMS), langs)
     out = Model(langs, _table(_counts(words, "word", MOST_WORDS), langs), grams)
     words.unpersist()

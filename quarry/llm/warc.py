@@ -137,11 +137,16 @@ class Gap:
 def _headers(raw: bytes) -> dict[str, str]:
     out = {}
     for line in raw.split(b"\r\n"):
+        if not line:
+            continue
         name, colon, value = line.partition(b":")
-        if colon:
-            out[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-        elif line:
+        # What a cut record runs into is no header: other bytes, or the next version line.
+        if not colon or VERSION in line or min(line.replace(b"\t", b" ")) < 32:
             raise Damage("header line")
+        try:
+            out[name.decode().strip().lower()] = value.decode().strip()
+        except UnicodeDecodeError:
+            raise Damage("header line") from None
     return out
 
 
@@ -204,8 +209,8 @@ def _candidates(data: bytes, at: int) -> Iterator[int]:
             yield member
             member = data.find(GZIP_MEMBER, member + 1)
         else:
-            if line == 0 or data[line - 1 : line] == b"\n":
-                yield line
+            # A cut record may end anywhere, so a version line need not follow a line end.
+            yield line
             line = data.find(VERSION, line + 1)
 
 
