@@ -64,9 +64,9 @@ def candidate_ids(graph: Graph, asked: DataFrame, limit: int | None = 1500, hops
     asked = asked.where(_blank("act") != "")
     nodes = asked.join(graph.sections.select("key", "act", "section"), "act").select("query_id", "key", "section", "sections")
     start = nodes.where((F.size("sections") <= 0) | F.array_contains("sections", F.upper("section")))
-    reached = front = start.select("query_id", "key").distinct()
-    walked = start.where(F.size("sections") > 0).select("query_id", "key").distinct()
-    front = walked
+    reached = start.select("query_id", "key").distinct()
+    # Only from named sections are citations followed; a whole act is reached already.
+    front = start.where(F.size("sections") > 0).select("query_id", "key").distinct()
     for _ in range(hops):
         front = front.join(graph.section_cites, front.key == F.col("src_key")).select("query_id", F.col("dst_key").alias("key")).distinct()
         reached = reached.unionByName(front)
