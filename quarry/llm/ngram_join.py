@@ -40,9 +40,9 @@ BROADCAST_ROWS = 1_000_000
 #: Rounds of comparing with one leader before what is left is compared in full.
 LEADER_ROUNDS = 3
 #: Group size from which the full comparison works in blocks, and their sizes.
-BLOCKED_FROM, BLOCK, QUERY_BLOCK = 48, 256, 64
+BLOCKED_FROM, BLOCK, QUERY_BLOCK = 48, 128, 32
 #: Tokens that a task combines before it deals them out.
-COMBINED = 1 << 20
+COMBINED = 1 << 19
 _48 = (1 << 48) - 1
 
 
@@ -331,7 +331,8 @@ def _blocked(mixed: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row in range(batch.num_rows):
+                x, y = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 arrays = [np.frombuffer(r["tokens"], U) for r in x]
                 lengths = np.array([len(v) for v in arrays])
                 offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])

@@ -20,7 +20,7 @@ _INVERSE = pow(_RATIO, -1, 1 << 64)
 _WORD_RATIO = 0xD1342543DE82EF95
 _WORD_INVERSE = pow(_WORD_RATIO, -1, 1 << 64)
 #: Bytes handled at a time, so that intermediate arrays stay small; a longer text is one piece.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def pieces(texts: pa.Array, lower: bool) -> Iterator[Piece]:
         edges = offsets[row : end + 1] - lo
         space = _SPACE[raw]
         begin = ~space
-        begin[1:] &= space[:-1] | False
+        begin[1:] &= space[:-1]
         at_edge = edges[:-1][edges[:-1] < len(raw)]
         begin[at_edge] = ~space[at_edge]
         stop = ~space
