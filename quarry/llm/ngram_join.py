@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import packed, wordhash
 from quarry.llm.components import components
-from quarry.llm.tables import written
+from quarry.llm.tables import arrow_rows, written
 from quarry.llm.wordhash import U
 
 WORDS, SIMILARITY = 5, 75
@@ -41,6 +41,8 @@ BROADCAST_ROWS = 1_000_000
 LEADER_ROUNDS = 3
 #: Group size from which the full comparison works in blocks, and their sizes.
 BLOCKED_FROM, BLOCK, QUERY_BLOCK = 48, 128, 32
+#: Pairs or blocks, each with its token arrays, that a Python worker gets at once.
+ROWS_AT_ONCE = 128
 #: Tokens that a task combines before it deals them out.
 COMBINED = 1 << 19
 _48 = (1 << 48) - 1
@@ -314,11 +316,13 @@ def _blocked(mixed: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     """Links across components in large groups: blocks of classes outside a group's largest component
     against blocks of all its classes."""
     sizes = mixed.groupBy("t", "c").agg(F.count(F.lit(1)).alias("_k"))
-    main = sizes.groupBy("t").agg(F.max_by("c", F.struct("_k", "c")).alias("_main"), F.sum("_k").alias("_all"))
+    main = sizes.groupBy("t").agg(
+        F.max_by("c", F.struct("_k", "c")).alias("_main"), F.sum("_k").alias("_all"), (F.sum("_k") - F.max("_k")).alias("_asks")
+    )
     rows = mixed.join(main, "t").join(kept.select("rep", "tokens"), "rep")
     body = F.collect_list(F.struct("rep", "c", "n", "tokens"))
     every = rows.groupBy("t", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_all") / BLOCK)).alias("_blk")).agg(body.alias("x"))
-    asks = rows.where("c <> _main").groupBy("t", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_all") / QUERY_BLOCK)).alias("_q")).agg(body.alias("y"))
+    asks = rows.where("c <> _main").groupBy("t", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_asks") / QUERY_BLOCK)).alias("_q")).agg(body.alias("y"))
 
     def run(batches):
         top: dict[int, int] = {}
@@ -413,7 +417,8 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = SIMILARITY) -> DataF
     classes = own.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
     survivors = written(prefix_survivors(docs, classes, size, percent), "survivors")
     kept = written(rare_prefixes(docs, survivors, size, percent), "rare-prefixes")
-    labels = class_links(kept, percent)
+    with arrow_rows(docs.sparkSession, ROWS_AT_ONCE):
+        labels = class_links(kept, percent)
     named = classes.where("n > 0").join(labels, F.col("rep") == F.col("node"), "left").select(
         F.col("sig").alias("_sig"), F.col("n").alias("_n"), "rep", F.coalesce("component", "rep").alias("component")
     )
