@@ -313,8 +313,8 @@ def verified(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocked(mixed: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
-    """Links across components in large groups: blocks of classes outside a group's largest component
-    against blocks of all its classes."""
+    """Links between components, as (a, b) of their names, in large groups: blocks of classes outside a
+    group's largest component against blocks of all its classes."""
     sizes = mixed.groupBy("t", "c").agg(F.count(F.lit(1)).alias("_k"))
     main = sizes.groupBy("t").agg(
         F.max_by("c", F.struct("_k", "c")).alias("_main"), F.sum("_k").alias("_all"), (F.sum("_k") - F.max("_k")).alias("_asks")
@@ -353,12 +353,12 @@ def _blocked(mixed: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
                         a, b = root(q["c"]), root(x[k]["c"])
                         if a != b:
                             top[max(a, b)] = min(a, b)
-                            out.append((q["rep"], x[k]["rep"]))
+                            out.append((q["c"], x[k]["c"]))
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return asks.join(every, "t").select("x", "y").mapInArrow(run, "a long, b long")
+    return asks.join(every, "t").select("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
