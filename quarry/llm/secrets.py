@@ -8,8 +8,9 @@ are spans of the text, in code points.
 
 Edge cases: a null or empty text has no finds; equal finds of several layers are one; repeated rows
 are scanned each; an empty table gives no rows; other columns are carried along or ignored; texts are
-scanned whole, whatever their length. A compressed stretch is unwrapped in pieces up to MOST_UNPACKED
-characters at once, a bound on memory only for what one stretch expands to.
+scanned whole, whatever their length. What a compressed stretch expands to is scanned in overlapping
+pieces of UNPACKED bytes, a bound on memory and not on what is found; a find longer than OVERLAP that
+crosses two pieces is found in parts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +43,7 @@ ESCAPED = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_PART = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-MOST_UNPACKED = 64 << 20
+UNPACKED, OVERLAP = 16 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -76,16 +78,28 @@ def _spread(data: bytes, start: np.ndarray, stop: np.ndarray) -> Layer | None:
     return Layer(text, start[lead], stop[last])
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What a gzip or zlib stream holds."""
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """What a gzip or zlib stream holds, in overlapping pieces that begin and end between characters."""
     if not (data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0)):
-        return None
+        return
+    stream, kept = zlib.decompressobj(47), b""
     try:
-        stream = zlib.decompressobj(47)
-        out = stream.decompress(data, MOST_UNPACKED)
-        return out if stream.eof or out else None
+        while data and not stream.eof:
+            piece = kept + stream.decompress(data, UNPACKED)
+            data = stream.unconsumed_tail
+            if len(piece) == len(kept):
+                return
+            cut = len(piece)
+            while data and cut > len(piece) - 4 and piece[cut - 1] & 0xC0 == 0x80:
+                cut -= 1
+            cut -= bool(data) and piece[cut - 1] >= 0xC0
+            yield piece[:cut]
+            from_ = max(0, cut - OVERLAP)
+            while from_ < cut and piece[from_] & 0xC0 == 0x80:
+                from_ += 1
+            kept = piece[from_:]
     except zlib.error:
-        return None
+        return
 
 
 def _readable(text: str) -> bool:
@@ -128,38 +142,37 @@ def _from_escapes(piece: Layer) -> Layer | None:
     return Layer(text, start, stop)
 
 
-def _from_base64(piece: Layer) -> Layer | None:
+def _from_base64(piece: Layer) -> Iterator[Layer | None]:
     body = piece.text.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         body = body[:-1]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    plain = _unpacked(data)
-    if plain is not None:
-        n = len(plain)
-        layer = _spread(plain, np.full(n, piece.start[0]), np.full(n, piece.stop[-1]))
-    else:
+        return
+    packed = False
+    for plain in _unpacked(data):
+        packed, n = True, len(plain)
+        yield _spread(plain, np.full(n, piece.start[0]), np.full(n, piece.stop[-1]))
+    if not packed:
         k = np.arange(len(data))
-        layer = _spread(data, piece.start[k * 4 // 3], piece.stop[np.minimum((4 * k + 6) // 3, len(body)) - 1])
-    return layer if layer and _readable(layer.text) else None
+        yield _spread(data, piece.start[k * 4 // 3], piece.stop[np.minimum((4 * k + 6) // 3, len(body)) - 1])
 
 
-def _inner(layer: Layer):
+def _inner(layer: Layer) -> Iterator[Layer]:
     """What the encoded stretches of a layer hold."""
     text = layer.text
-    kinds = [(BASE64, _from_base64)]
+    kinds = [(BASE64, lambda p: (x for x in _from_base64(p) if x and _readable(x.text)))]
     if "%" in text:
-        kinds.append((URL, _from_url))
+        kinds.append((URL, lambda p: [_from_url(p)]))
     if "\\" in text:
-        kinds.append((ESCAPED, _from_escapes))
+        kinds.append((ESCAPED, lambda p: [_from_escapes(p)]))
     for pattern, unwrap in kinds:
         for m in pattern.finditer(text):
             piece = Layer(m[0], layer.start[m.start() : m.end()], layer.stop[m.start() : m.end()])
-            found = unwrap(piece)
-            if found is not None and found.text and found.text != piece.text:
-                yield found
+            for found in unwrap(piece):
+                if found is not None and found.text and found.text != piece.text:
+                    yield found
 
 
 class _Whole:

@@ -86,3 +86,13 @@ def test_redacted_docs_keep_rows_and_columns(spark):
     df = frame(spark, [(1, f"a {SECRET} b", "en", None, 3), (1, f"a {SECRET} b", "en", None, 3), (None, None, None, "s", None), (2, "clean", "en", "s", 5)])
     out = secrets.redacted_docs(df)
     assert out.columns == df.columns and sorted(r.text or "" for r in out.collect()) == ["", "a [assign] b", "a [assign] b", "clean"]
+
+
+def test_large_expansions_are_scanned_in_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "UNPACKED", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    body = ("é word " * 900 + SECRET + " " + "ü x " * 700).encode()
+    pieces = [p.decode() for p in secrets._unpacked(gzip.compress(body))]
+    assert len(pieces) > 5 and all(p in body.decode() for p in pieces)
+    text = "x " + b64(gzip.compress(body, mtime=0)) + " y"
+    assert secrets.scan(text)[1] == [("assign", 2, len(text) - 2)]
