@@ -5,7 +5,8 @@ suffix sums of the same trie. A byte unseen in its context escapes to the next s
 probability d / (t + d), d being the distinct bytes seen there and t their count; bytes seen in the
 longer context are excluded from the shorter (symbol exclusion), and after the empty context every
 byte left is equally likely. The pretrained trie is walked by table look-ups, so a text's code length
-accumulates at a few array reads a byte.
+accumulates at a few array reads a byte. The most frequent contexts are broadcast; bytes after any other
+context meet its counts in a shuffle, so the model keeps every context whatever the size of the corpus.
 
 Beside it stands a unigram model of words. Frequent words are looked up in a broadcast table of bounded
 size; the others meet their counts in a shuffle, so that no vocabulary needs to fit in a task.
@@ -31,8 +32,10 @@ from quarry.llm import packed, wordhash
 from quarry.llm.tables import written
 from quarry.llm.wordhash import U
 
-#: Three-byte contexts up to which these are used (1 KB each in a worker); beyond, two-byte ones: 2**16 at most.
-MOST_CONTEXTS = 1 << 17
+#: Three-byte contexts of the broadcast trie (1 KB each in a worker).
+BROADCAST_CONTEXTS = 1 << 17
+#: Three-byte contexts beyond which two-byte ones are used for all; None: never.
+MOST_CONTEXTS = None
 #: Words of the broadcast table.
 FREQUENT = 1 << 18
 #: The smoothing of the unigram model.
@@ -42,6 +45,7 @@ COMBINED = 1 << 22
 _WORD = np.dtype([("h", "<u8"), ("n", "<i8")])
 _CODE = np.dtype([("c", "<u4"), ("n", "<i8")])
 _USE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("n", "<i8")])
+_SYMBOL = np.dtype([("c", "<u4"), ("n", "<u4"), ("doc", "<i8")])
 _DOC = np.dtype([("doc", "<i8"), ("rows", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 _NO_ID = np.iinfo(np.int64).min
 #: The hash that stands for the end of a text.
@@ -89,6 +93,10 @@ def _codes(stream: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (x[places - 3] << 24) | (x[places - 2] << 16) | (x[places - 1] << 8) | x[places]
 
 
+def _context_bucket(codes: np.ndarray, n: int) -> np.ndarray:
+    return (wordhash.mix((codes >> 8).astype(U)) % U(n)).astype(np.int64)
+
+
 def trained(docs: DataFrame) -> DataFrame:
     """(bucket, kind, payload): counts of words (kind 0) and of bytes after contexts (kind 1)."""
     n = packed.buckets(docs)
@@ -99,7 +107,7 @@ def trained(docs: DataFrame) -> DataFrame:
         def flush(kind, dtype):
             every = np.concatenate(held[kind])
             rows = _summed(every[dtype.names[0]], every["n"], dtype)
-            bucket = rows["h"] % U(n) if kind == 0 else wordhash.mix((rows["c"] >> 8).astype(U)) % U(n)
+            bucket = rows["h"] % U(n) if kind == 0 else _context_bucket(rows["c"], n)
             held[kind] = []
             yield from packed.dealt(bucket.astype(np.int64), rows, kind)
 
@@ -131,29 +139,51 @@ def trained(docs: DataFrame) -> DataFrame:
     return packed.by_bucket(docs.select("text").mapInArrow(deal, packed.BLOCKS)).mapInArrow(add, packed.BLOCKS)
 
 
+def _root(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, open) of the empty context: see _after()."""
+    left = 256 - np.count_nonzero(total)
+    every = np.zeros((1, 256))
+    seen = total > 0
+    t, d = total.sum(), seen.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        every[0, seen] = np.log10(total[seen] / (t + d)) if d else 0.0
+        if left:
+            every[0, ~seen] = (np.log10(d / (t + d)) if d else 0.0) - np.log10(left)
+    return every, np.where(seen, 0.0, -np.log10(max(left, 1)))[None, :]
+
+
+def _after(table: np.ndarray, lower: np.ndarray, lower_open: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, open) of contexts with these counts: what symbols cost from the context on, and the same once
+    its own symbols are excluded, for the symbols it lacks. lower, lower_open: of the next shorter contexts."""
+    own = table > 0
+    t, d = table.sum(1), own.sum(1)
+    fresh = (lower > 0) & ~own
+    tx, dx = (lower * fresh).sum(1), fresh.sum(1)
+    # Without fresh symbols below, the escape below is certain and costs nothing.
+    step = np.log10(np.where(dx > 0, dx / np.maximum(tx + dx, 1), 1.0))
+    unseen = np.where(fresh, np.log10(np.maximum(lower, 1) / np.maximum(tx + dx, 1)[:, None]), step[:, None] + lower_open)
+    first = np.log10(d / (t + d))
+    return np.where(own, np.log10(np.maximum(table, 1) / (t + d)[:, None]), first[:, None] + unseen), np.where(own, 0.0, unseen)
+
+
 class Trie:
-    """Log10 probabilities from counts of code = context byte, .., symbol, for contexts of `order` bytes."""
+    """Log10 probabilities from counts of code = context byte, .., symbol, for contexts of `order` bytes.
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int) -> None:
+    base: (codes, counts) of all contexts of order - 1 bytes, if codes holds only some of order bytes.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, base: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.order, levels = order, {}
         for k in range(order, -1, -1):
-            low = codes.astype(np.int64) & ((1 << (8 * (k + 1))) - 1)
+            of, n = (codes, counts) if base is None or k == order else base
+            low = of.astype(np.int64) & ((1 << (8 * (k + 1))) - 1)
             code, inverse = np.unique(low, return_inverse=True)
-            levels[k] = (code, np.bincount(inverse, counts) if len(code) else np.zeros(0))
+            levels[k] = (code, np.bincount(inverse, n) if len(code) else np.zeros(0))
         total = np.zeros(256)
         total[levels[0][0]] = levels[0][1]
-        left = 256 - np.count_nonzero(total)
-        # after[k][context]: what symbols cost from that context on; open_[k]: the same once the context's
-        # own symbols are excluded, for the symbols it lacks.
-        every = np.zeros((1, 256))
-        seen = total > 0
-        t, d = total.sum(), seen.sum()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            every[0, seen] = np.log10(total[seen] / (t + d)) if d else 0.0
-            if left:
-                every[0, ~seen] = (np.log10(d / (t + d)) if d else 0.0) - np.log10(left)
+        every, open_ = _root(total)
         self.ids, self.values = {0: np.zeros(1, np.int64)}, {0: every}
-        below_counts, below_open = total[None, :], np.where(seen, 0.0, -np.log10(max(left, 1)))[None, :]
+        below_counts, below_open = total[None, :], open_
         below_index = lambda c: np.zeros(len(c), np.int64)
         for k in range(1, order + 1):
             code, count = levels[k]
@@ -166,18 +196,10 @@ class Trie:
                 here = slice(*np.searchsorted(row, [a, b]))
                 table = np.zeros((b - a, 256))
                 table[row[here] - a, code[here] & 255] = count[here]
-                own, parent = table > 0, parents[a:b]
-                t, d = table.sum(1), own.sum(1)
-                lower = below_counts[parent]
-                fresh = (lower > 0) & ~own
-                tx, dx = (lower * fresh).sum(1), fresh.sum(1)
-                # Without fresh symbols below, the escape below is certain and costs nothing.
-                step = np.log10(np.where(dx > 0, dx / np.maximum(tx + dx, 1), 1.0))
-                unseen = np.where(fresh, np.log10(np.maximum(lower, 1) / np.maximum(tx + dx, 1)[:, None]), step[:, None] + below_open[parent])
-                first = np.log10(d / (t + d))
-                value[a:b] = np.where(own, np.log10(np.maximum(table, 1) / (t + d)[:, None]), first[:, None] + unseen)
+                parent = parents[a:b]
+                value[a:b], open_ = _after(table, below_counts[parent], below_open[parent])
                 if k < order:
-                    tables.append(table), opens.append(np.where(own, 0.0, unseen))
+                    tables.append(table), opens.append(open_)
             self.values[k] = value
             index = np.full(1 << (8 * k), -1, np.int32) if k <= 2 else None
             if index is not None:
@@ -217,28 +239,100 @@ class Trie:
         return out[places - 3]
 
 
+    def holds(self, codes: np.ndarray) -> np.ndarray:
+        """Which of these codes of three-byte contexts have their context in the trie."""
+        if not len(self.values[3]):
+            return np.zeros(len(codes), bool)
+        row = self.ids[2].take(codes >> 16)
+        return (row >= 0) & (self.ids[3].ravel().take(np.maximum(row, 0) * 256 + ((codes >> 8) & 255).astype(np.int64)) >= 0)
+
+
+class Shard:
+    """The trie's values for a bucket of three-byte contexts, computed as they are asked for.
+
+    codes, counts: of all two-byte contexts, sorted.
+    """
+
+    CONTEXTS = 1024
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.codes, self.counts = codes.astype(np.int64), counts.astype(float)
+        self.two = np.unique(self.codes >> 8)
+        pairs = np.zeros(1 << 16)
+        np.add.at(pairs, self.codes & 0xFFFF, self.counts)
+        self.counts1 = pairs.reshape(256, 256)
+        total = self.counts1.sum(0)
+        self.values0, open_ = _root(total)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.values1, self.open1 = _after(self.counts1, total[None, :], open_)
+
+    @staticmethod
+    def _table(codes: np.ndarray, counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Counts of all symbols after contexts, from sorted codes."""
+        first, end = np.searchsorted(codes, contexts << 8), np.searchsorted(codes, (contexts + 1) << 8)
+        row = np.repeat(np.arange(len(contexts)), end - first)
+        at = np.arange(len(row)) + np.repeat(first - np.cumsum(end - first) + (end - first), end - first)
+        out = np.zeros((len(contexts), 256))
+        out[row, codes[at] & 255] = counts[at]
+        return out
+
+    def _two(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        table = self._table(self.codes, self.counts, contexts)
+        return table, *_after(table, self.counts1[contexts & 255], self.open1[contexts & 255])
+
+    def score(self, codes: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Log10 probability of each asked code; codes, counts: what training saw after the bucket's contexts, sorted."""
+        codes, (code, inverse) = codes.astype(np.int64), np.unique(asked.astype(np.int64), return_inverse=True)
+        context, symbol = code >> 8, code & 255
+        out = np.where(self.counts1[context & 255].any(1), self.values1[context & 255, symbol], self.values0[0, symbol])
+        deep = np.isin(context, codes >> 8)
+        for here, of in ((~deep & np.isin(context & 0xFFFF, self.two), context & 0xFFFF), (deep, context)):
+            at = np.flatnonzero(here)
+            every, row = np.unique(of[at], return_inverse=True)
+            for a in range(0, len(every), self.CONTEXTS):
+                some, hit = every[a : a + self.CONTEXTS], (row >= a) & (row < a + self.CONTEXTS)
+                if of is context:
+                    parent, own = np.unique(some & 0xFFFF, return_inverse=True)
+                    lower, _, open_ = self._two(parent)
+                    value = _after(self._table(codes, counts, some), lower[own], open_[own])[0].astype(np.float32)
+                else:
+                    value = self._two(some)[1]
+                out[at[hit]] = value[row[hit] - a, symbol[at[hit]]]
+        return out[inverse]
+
+
 _TRIES: dict = {}
 
 
-def _trie(name: str, codes: np.ndarray, counts: np.ndarray, order: int) -> Trie:
-    """The trie, built once in each Python worker."""
+def _trie(name: str, *data) -> Trie | Shard:
+    """The trie, or with counts of two-byte contexts alone the shard, built once in each Python worker."""
     if name not in _TRIES:
         _TRIES.clear()
-        _TRIES[name] = Trie(codes, counts, order)
+        _TRIES[name] = Trie(*data) if len(data) > 2 else Shard(*data)
     return _TRIES[name]
 
 
-def fitted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(codes, counts, order) of the deepest trie that is small enough to broadcast."""
+def fitted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, int, tuple[np.ndarray, np.ndarray] | None]:
+    """(codes, counts, order, base): base holds the counts of two-byte contexts if codes has only the most frequent
+    of the three-byte contexts, by powers of two, at most BROADCAST_CONTEXTS of them."""
     trie = model.where("kind = 1").select("payload")
 
-    def contexts(batches):
+    def times(rows):
+        # A context's counts lie in one bucket, so a payload has all of them.
+        _, row = np.unique(rows["c"] >> 8, return_inverse=True)
+        total = np.bincount(row, rows["n"])
+        return row, np.log2(total).astype(np.int64)
+
+    def sizes(batches):
         for batch in batches:
-            own = sum(len(np.unique(np.frombuffer(x.as_buffer(), _CODE)["c"] >> 8)) for x in batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64())], ["n"])
+            out = np.zeros(64, np.int64)
+            for x in batch.column(0):
+                out += np.bincount(times(np.frombuffer(x.as_buffer(), _CODE))[1], minlength=64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(out)], ["e", "n"])
 
-    # A context's counts lie in one bucket, so the sum counts each context once.
-    if (trie.mapInArrow(contexts, "n long").agg(F.sum("n")).first()[0] or 0) > MOST_CONTEXTS:
+    have = {r["e"]: r["n"] for r in trie.mapInArrow(sizes, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).collect()}
+    shallow, base = MOST_CONTEXTS is not None and sum(have.values()) > MOST_CONTEXTS, None
+    if shallow or sum(have.values()) > BROADCAST_CONTEXTS:
 
         def shorter(batches):
             for batch in batches:
@@ -250,10 +344,26 @@ def fitted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 )
 
         rows = trie.mapInArrow(shorter, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
-        return rows["c"].to_numpy().astype(np.uint32), rows["n"].to_numpy().astype(np.int64), 2
+        code, n = rows["c"].to_numpy().astype(np.uint32), rows["n"].to_numpy().astype(np.int64)
+        base = code[np.argsort(code)], n[np.argsort(code)]
+        if shallow:
+            return *base, 2, None
+        least, total = 64, 0
+        while least > 0 and total + have.get(least - 1, 0) <= BROADCAST_CONTEXTS:
+            least -= 1
+            total += have.get(least, 0)
+
+        def frequent(batches):
+            for batch in batches:
+                for x in batch.column(0):
+                    rows = np.frombuffer(x.as_buffer(), _CODE)
+                    row, size = times(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[size[row] >= least].tobytes()], pa.binary())], ["payload"])
+
+        trie = trie.mapInArrow(frequent, "payload binary")
     raw = b"".join(r["payload"] for r in trie.collect())
     rows = np.sort(np.frombuffer(raw, _CODE), order="c")
-    return rows["c"].copy(), rows["n"].copy(), 3
+    return rows["c"].copy(), rows["n"].copy(), 3, base
 
 
 def _frequent(model: DataFrame) -> np.ndarray:
@@ -293,7 +403,7 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = docs.where(remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT if train is None else train).where("doc_id IS NOT NULL")
     model = written(trained(chosen), "ppm-model")
-    codes, counts, order = fitted(model)
+    codes, counts, order, base = fitted(model)
     top = _frequent(model)
 
     def totals(batches):
@@ -307,25 +417,40 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
     # A vocabulary of nothing still has the end, unseen.
     floor = total + ADDED * (distinct + 1)
     n = packed.buckets(docs)
-    trie_data, name = spark.sparkContext.broadcast((codes, counts, order)), uuid.uuid4().hex
+    trie_data, name = spark.sparkContext.broadcast((codes, counts, order, base)), uuid.uuid4().hex
+    base_data = spark.sparkContext.broadcast(base) if base else None
     top_data = spark.sparkContext.broadcast(top)
 
     def deal(batches):
         trie = _trie(name, *trie_data.value)
         top = top_data.value
         top_log = np.log10((top["n"] + ADDED) / floor)
-        uses, held = [], 0
+        uses, symbols, held = [], [], 0
 
         def flush():
-            rows = np.concatenate(uses)
-            yield from packed.dealt((rows["h"] % U(n)).astype(np.int64), rows, 2)
+            if uses:
+                rows = np.concatenate(uses)
+                yield from packed.dealt((rows["h"] % U(n)).astype(np.int64), rows, 2)
+            if symbols:
+                rows = np.concatenate(symbols)
+                yield from packed.dealt(_context_bucket(rows["c"], n), rows, 4)
 
         for batch in batches:
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             out = np.zeros(batch.num_rows, _DOC)
             out["doc"], out["rows"] = ids, 1
             for stream, places, text, row in _streams(batch.column(1)):
-                part = np.bincount(text, trie.score(stream, places))
+                each = trie.score(stream, places)
+                if base_data:
+                    code = _codes(stream, places)
+                    far = np.flatnonzero(~trie.holds(code))
+                    each[far] = 0
+                    key, times = np.unique(text[far].astype(U) << U(32) | code[far].astype(U), return_counts=True)
+                    rows = np.empty(len(key), _SYMBOL)
+                    rows["c"], rows["n"], rows["doc"] = key & U(0xFFFFFFFF), times, ids[row + (key >> U(32)).astype(np.int64)]
+                    symbols.append(rows)
+                    held += len(rows)
+                part = np.bincount(text, each)
                 out["score"][row : row + len(part)] = part
             for piece in wordhash.pieces(batch.column(1), lower=True):
                 k = len(piece)
@@ -349,7 +474,7 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
             yield from packed.dealt((out["doc"].astype(U) % U(n)).astype(np.int64), out, 3)
             if held > COMBINED // 4:
                 yield from flush()
-                uses, held = [], 0
+                uses, symbols, held = [], [], 0
         if held:
             yield from flush()
 
@@ -366,6 +491,11 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
                 rows = np.zeros(len(use), _DOC)
                 rows["doc"], rows["known"], rows["base"] = use["doc"], use["n"] * (c > 0), use["n"] * np.log10((c + ADDED) / floor)
                 parts.append(rows)
+            if 4 in found:
+                use, have = np.frombuffer(found[4], _SYMBOL), np.sort(np.frombuffer(found.get(1, b""), _CODE), order="c")
+                rows = np.zeros(len(use), _DOC)
+                rows["doc"], rows["score"] = use["doc"], use["n"] * _trie(name + "shard", *base_data.value).score(have["c"], have["n"], use["c"])
+                parts.append(rows)
             rows = np.concatenate(parts) if parts else np.zeros(0, _DOC)
             if len(rows):
                 doc, at = np.unique(rows["doc"], return_inverse=True)
@@ -373,7 +503,7 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
                 arrays = [pa.array(doc), *(pa.array(s.astype(np.int64)) for s in sums[:3]), *(pa.array(s) for s in sums[3:])]
                 yield pa.RecordBatch.from_arrays(arrays, list(_DOC.names))
 
-    blocks = docs.mapInArrow(deal, packed.BLOCKS).union(model.where("kind = 0"))
+    blocks = docs.mapInArrow(deal, packed.BLOCKS).union(model if base else model.where("kind = 0"))
     parts = packed.by_bucket(blocks).mapInArrow(meet, "doc long, rows long, tokens long, known long, base double, score double")
     sums = parts.groupBy("doc").agg(*(F.sum(c).alias(c) for c in _DOC.names[1:])).where("rows > 0")
     mean = lambda c: (F.col(c) / F.col("rows"))

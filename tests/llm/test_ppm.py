@@ -108,3 +108,10 @@ def test_empty_repeats_nulls_and_clashing_columns(spark):
     rows = [(1, "a b a", None, None, 0), (1, "a b a", None, None, 0), (None, "a b", None, None, 0), (2, None, None, None, 0)]
     out = sorted((r.doc_id or -1, r.n_tokens) for r in ppm.scored(clashing(frame(spark, rows), "score", "rows", "n")).collect())
     assert out == [(-1, 3), (1, 4), (1, 4), (2, 1)]
+
+
+@pytest.mark.parametrize("most", [0, 10, 150])
+def test_three_byte_contexts_at_every_size(spark, monkeypatch, most):
+    monkeypatch.setattr(ppm, "BROADCAST_CONTEXTS", most)
+    monkeypatch.setattr(ppm.Shard, "CONTEXTS", 7)
+    check(spark, ROWS)
