@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import queries
 from quarry.functions import text
 from quarry.operators import context, dedup, filters, graph, hybrid, lexical, pages, rerank, segment, vector
 from quarry.plans import manifest, questions
@@ -112,6 +113,16 @@ def test_near_duplicates(spark):
             kept.append(i)
     pool = df.select(F.lit(1).alias("query_id"), F.col("doc_id").alias("rank"), "text")
     assert sorted(x["rank"] for x in dedup.near_greedy(pool).collect()) == kept
+    assert sorted(x.doc_id for x in dedup.near_first(df, F.lit(None)).collect()) == kept
+    two = dedup.near_first(df.union(df.withColumn("doc_id", F.col("doc_id") + 1000)), F.col("doc_id") >= 1000)
+    assert sorted(x.doc_id for x in two.collect()) == kept + [i + 1000 for i in kept]
+
+
+def test_greedy_query_compares_all_documents_of_a_source(spark, tmp_path):
+    rows = [(i, f"alpha beta gamma delta {'' if i < 30 else 'other words here now'}", f"s{i % 3}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query_id"], r["rank"]) for r in queries.queries()["near_dup_greedy"](spark, str(tmp_path)).collect()}
+    assert got == {("s0", 0), ("s1", 1), ("s2", 2), ("s0", 30), ("s1", 31), ("s2", 32)}
 
 
 def test_splitting():
