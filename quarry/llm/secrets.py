@@ -1,9 +1,10 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned as it stands. Then every stretch that looks encoded (URL escapes, Unicode escapes,
-base64, and what those hide in gzip or zlib) is unwrapped into a layer; layers are scanned and searched
-for further encoded stretches until none is left. A layer seen before is not taken again, so cycles
-end. Each character of a layer carries the place in the text that it came from, so finds in any layer
+base64, and the gzip or zlib streams that stand anywhere in their bytes) is unwrapped into a layer;
+layers are scanned and searched for further encoded stretches until none is left. Base64 is read from
+each of four alignments, so it may follow other letters of its alphabet, and over wrapped lines. Bytes
+that are not UTF-8 are replaced. A layer seen before is not taken again, so cycles end. Each character of a layer carries the place in the text that it came from, so finds in any layer
 are spans of the text, in code points.
 
 Edge cases: a null or empty text has no finds; equal finds of several layers are one; repeated rows
@@ -41,6 +42,8 @@ CUES = ("passw", "secret", "token", "api")
 URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 ESCAPED = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]*={0,2}")
+STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_PART = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 UNPACKED, OVERLAP = 16 << 20, 1 << 16
@@ -67,22 +70,44 @@ def finds(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _spread(data: bytes, start: np.ndarray, stop: np.ndarray) -> Layer | None:
-    """Bytes as a layer, if they are text; start, stop: of each byte."""
+def _spread(data: bytes, start: np.ndarray, stop: np.ndarray) -> Layer:
+    """Bytes as a layer, with each that is not UTF-8 replaced; start, stop: of each byte."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
+        text = data.decode("utf-8", "surrogateescape")
+        point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        width = np.where((point >= 0xDC80) & (point <= 0xDCFF), 1, 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000))
+        end = np.cumsum(width)
+        return Layer(re.sub("[\udc80-\udcff]", "\ufffd", text), start[end - width], stop[end - 1])
     lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
     last = np.concatenate([lead[1:], [len(data)]]) - 1 if len(lead) else lead
     return Layer(text, start[lead], stop[last])
 
 
-def _unpacked(data: bytes) -> Iterator[bytes]:
+def _streams(data: bytes, start: np.ndarray, stop: np.ndarray, above: frozenset = frozenset()) -> Iterator[Layer]:
+    """What the gzip and zlib streams in data hold, each with the place of its own bytes; streams in streams too."""
+    at = 0
+    while (m := STREAM.search(data, at)) is not None:
+        # A stream that ends is passed over; one that does not may begin at any byte.
+        stream, at = zlib.decompressobj(47), m.start() + 1
+        body, name = memoryview(data)[m.start() :], None
+        for plain in _unpacked(body, stream):
+            name = name or hashlib.blake2b(body, digest_size=16).digest()
+            if name in above:
+                break
+            end = len(data) - len(stream.unused_data) if stream.eof else len(data)
+            n, a, b = len(plain), start[m.start()], stop[end - 1]
+            starts, stops = np.full(n, a), np.full(n, b)
+            yield _spread(plain, starts, stops)
+            yield from _streams(plain, starts, stops, above | {name})
+        if stream.eof:
+            at = len(data) - len(stream.unused_data)
+
+
+def _unpacked(data: bytes, stream=None) -> Iterator[bytes]:
     """What a gzip or zlib stream holds, in overlapping pieces that begin and end between characters."""
-    if not (data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0)):
-        return
-    stream, kept = zlib.decompressobj(47), b""
+    stream, kept = stream or zlib.decompressobj(47), b""
     try:
         while data and not stream.eof:
             piece = kept + stream.decompress(data, UNPACKED)
@@ -102,11 +127,7 @@ def _unpacked(data: bytes) -> Iterator[bytes]:
         return
 
 
-def _readable(text: str) -> bool:
-    return bool(text) and sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text)
-
-
-def _from_url(piece: Layer) -> Layer | None:
+def _from_url(piece: Layer) -> Iterator[Layer]:
     parts, starts, stops, at = [], [], [], 0
     for m in _URL_PART.finditer(piece.text):
         raw = piece.text[at : m.start()].encode("utf-8", "surrogatepass")
@@ -119,10 +140,12 @@ def _from_url(piece: Layer) -> Layer | None:
     width = [len(c.encode("utf-8", "surrogatepass")) for c in piece.text[at:]]
     parts.append(piece.text[at:].encode("utf-8", "surrogatepass"))
     starts.append(np.repeat(piece.start[at:], width)), stops.append(np.repeat(piece.stop[at:], width))
-    return _spread(b"".join(parts), np.concatenate(starts), np.concatenate(stops))
+    data, start, stop = b"".join(parts), np.concatenate(starts), np.concatenate(stops)
+    yield _spread(data, start, stop)
+    yield from _streams(data, start, stop)
 
 
-def _from_escapes(piece: Layer) -> Layer | None:
+def _from_escapes(piece: Layer) -> Iterator[Layer]:
     parts, starts, stops, at = [], [], [], 0
     for m in _ESCAPE_PART.finditer(piece.text):
         parts += [piece.text[at : m.start()], chr(int(m[1] or m[2], 16))]
@@ -132,46 +155,58 @@ def _from_escapes(piece: Layer) -> Layer | None:
     parts.append(piece.text[at:])
     starts.append(piece.start[at:]), stops.append(piece.stop[at:])
     text, start, stop = "".join(parts), np.concatenate(starts), np.concatenate(stops)
+    # Escapes may spell bytes, one to a character.
+    yield from _streams(text.encode("latin-1", "replace"), start, stop)
     # Escapes may spell surrogate pairs: two characters that make one.
     if re.search("[\ud800-\udbff][\udc00-\udfff]", text):
         first = np.array([not "\udc00" <= c <= "\udfff" for c in text])
         text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
         start, stop = start[first], stop[np.concatenate([np.flatnonzero(first)[1:], [len(first)]]) - 1]
         if len(start) != len(text):
-            return None
-    return Layer(text, start, stop)
+            return
+    yield Layer(text, start, stop)
+
+
+def _from_base64(piece: Layer) -> Iterator[Layer]:
+    """The layers of a run by alignment: what stands before the encoded part only decodes to noise before it."""
+    whole = piece.text.rstrip("=").replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        body = whole[skip:]
+        if len(body) % 4 == 1:
+            body = body[:-1]
+        try:
+            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            continue
+        if not data:
+            continue
+        k = np.arange(len(data))
+        start, stop = piece.start[skip + k * 4 // 3], piece.stop[skip + np.minimum((4 * k + 6) // 3, len(body)) - 1]
+        yield _spread(data, start, stop)
+        # Padding belongs to a stream that ends the run.
+        yield from _streams(data, start, np.concatenate([stop[:-1], piece.stop[-1:]]))
 
 
-def _from_base64(piece: Layer) -> Iterator[Layer | None]:
-    body = piece.text.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    packed = False
-    for plain in _unpacked(data):
-        packed, n = True, len(plain)
-        yield _spread(plain, np.full(n, piece.start[0]), np.full(n, piece.stop[-1]))
-    if not packed:
-        k = np.arange(len(data))
-        yield _spread(data, piece.start[k * 4 // 3], piece.stop[np.minimum((4 * k + 6) // 3, len(body)) - 1])
+def _from_wrapped(piece: Layer) -> Iterator[Layer]:
+    inside = np.array([not c.isspace() for c in piece.text])
+    yield from _from_base64(Layer("".join(piece.text.split()), piece.start[inside], piece.stop[inside]))
 
 
 def _inner(layer: Layer) -> Iterator[Layer]:
     """What the encoded stretches of a layer hold."""
     text = layer.text
-    kinds = [(BASE64, lambda p: (x for x in _from_base64(p) if x and _readable(x.text)))]
+    kinds = [(BASE64, _from_base64)]
+    if "\n" in text:
+        kinds.append((WRAPPED, _from_wrapped))
     if "%" in text:
-        kinds.append((URL, lambda p: [_from_url(p)]))
+        kinds.append((URL, _from_url))
     if "\\" in text:
-        kinds.append((ESCAPED, lambda p: [_from_escapes(p)]))
+        kinds.append((ESCAPED, _from_escapes))
     for pattern, unwrap in kinds:
         for m in pattern.finditer(text):
             piece = Layer(m[0], layer.start[m.start() : m.end()], layer.stop[m.start() : m.end()])
             for found in unwrap(piece):
-                if found is not None and found.text and found.text != piece.text:
+                if found.text and found.text != piece.text:
                     yield found
 
 

@@ -96,3 +96,29 @@ def test_large_expansions_are_scanned_in_pieces(monkeypatch):
     assert len(pieces) > 5 and all(p in body.decode() for p in pieces)
     text = "x " + b64(gzip.compress(body, mtime=0)) + " y"
     assert secrets.scan(text)[1] == [("assign", 2, len(text) - 2)]
+
+
+packed = gzip.compress(f"so {SECRET} it".encode() + bytes(range(256)) * 3, mtime=0)  # noqa: E305
+
+
+@pytest.mark.parametrize(
+    "blob",
+    [
+        "x=%E9t%E9&" + urllib.parse.quote(SECRET, safe=""),
+        b64("é ".encode("latin-1") + SECRET.encode()),
+        "".join(f"%{c:02X}" for c in packed),
+        urllib.parse.quote("x=").encode().decode() + urllib.parse.quote(packed),
+        "".join(f"\\x{c:02x}" for c in packed),
+        b64(gzip.compress(b"first", mtime=0) + packed),
+        b64(gzip.compress(packed, mtime=0)),
+        *(p + b64(f"so {SECRET} it".encode()) for p in ("session_", "key-", "a/bc/", "x", "path/to_the-")),
+        base64.encodebytes(packed).decode().strip(),
+        base64.encodebytes(packed).decode().replace("\n", "\r\n  ").strip(),
+    ],
+)
+def test_no_layer_is_given_up(blob):
+    text = f"Ünïcode before {blob} after"
+    own, every = secrets.scan(text)
+    a, z = text.index(blob), text.index(blob) + len(blob)
+    added = [x for x in every if x not in own]
+    assert any(k == "assign" for k, _, _ in added) and all(a <= s < e <= z for _, s, e in added)
