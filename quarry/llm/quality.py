@@ -29,8 +29,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def statistics(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
 
-    n_repeat_words sorts one long for each 3-word window: its hash above, its position below. Equal
-    windows then stand side by side; their positions, sorted again, give the union of covered words.
+    n_repeat_words sorts 3-word windows by their 64-bit hash, whatever the text's length. Equal windows
+    then stand side by side; their positions, sorted again, give the union of covered words.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = [F.col(c) for c in docs.columns if c not in BASE]
@@ -43,23 +43,21 @@ def statistics(docs: DataFrame) -> DataFrame:
         .withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
         .withColumn("_l", lines)
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-        .withColumn("_b", F.expr("CASE WHEN n_words < 1048576 THEN 20 ELSE 30 END"))
         .withColumn(
             "_k",
             F.expr(
                 "sort_array(CASE WHEN n_words >= 3 THEN transform(sequence(0, int(n_words) - 3),"
-                " i -> shiftleft(xxhash64(_w[i], _w[i + 1], _w[i + 2]), _b) | i)"
-                " ELSE cast(array() AS array<bigint>) END)"
+                " i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) AS h, i AS p))"
+                " ELSE cast(array() AS array<struct<h: bigint, p: int>>) END)"
             ),
         )
         .withColumn(
             "_p",
             F.expr(
-                "filter(_k, (x, j) -> coalesce(shiftright(x, _b) = shiftright(get(_k, j - 1), _b), false)"
-                " OR coalesce(shiftright(x, _b) = shiftright(get(_k, j + 1), _b), false))"
+                "filter(_k, (x, j) -> coalesce(x.h = get(_k, j - 1).h, false) OR coalesce(x.h = get(_k, j + 1).h, false))"
             ),
         )
-        .withColumn("_p", F.expr("sort_array(transform(_p, x -> x & (shiftleft(1L, _b) - 1)))"))
+        .withColumn("_p", F.expr("sort_array(transform(_p, x -> bigint(x.p)))"))
         .withColumn(
             "n_repeat_words",
             F.expr(
@@ -67,7 +65,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 " (a, p) -> named_struct('end', p + 3, 'n', a.n + p + 3 - greatest(p, a.end)), a -> a.n)"
             ),
         )
-        .drop("_w", "_l", "_b", "_k", "_p")
+        .drop("_w", "_l", "_k", "_p")
     )
 
 

@@ -27,6 +27,12 @@ def test_statistics(spark):
     assert got == {d: expected(t) for d, t, *_ in ROWS}
 
 
+def test_windows_of_a_very_long_text_are_told_apart(spark):
+    text = " ".join(map(str, range(1_100_000)))
+    r = quality.statistics(frame(spark, [(1, text, None, None, 0)])).first()
+    assert (r.n_words, r.n_repeat_words) == (1_100_000, 0)
+
+
 def test_covering_finds_planted_rules():
     rng = np.random.default_rng(0)
     x = np.column_stack([rng.uniform(0, 100, 3000), rng.uniform(0, 1, 3000), rng.uniform(0, 1, 3000)])
