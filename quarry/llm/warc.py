@@ -7,8 +7,8 @@ The reader checks each record (version line, headers, Content-Length, end mark,
 a failed check it searches for the next gzip member or version line at which a record passes all
 checks, goes on there, and logs the bytes between as a quarantined gap.
 
-Edge cases: a null payload is empty; a null url is written as `unknown:`; line ends in urls are
-escaped; rows that repeat a page_id are records each, and those of the response's id are responses; a
+Edge cases: a null payload is empty; a null url is written as `unknown:`; in urls, control characters
+and the slash of a version line are escaped; rows that repeat a page_id are records each, and those of the response's id are responses; a
 row without page_id is a response unless a row with an id has its payload; an empty table gives no
 archives and no rows; other columns are ignored. A record lies in one file, which is read as a whole,
 so a payload must be shorter than 2 GB.
@@ -35,6 +35,7 @@ BROADCAST_GROUPS = 500_000
 #: Fixed values of the formats.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+_CONTROL = [c for c in range(32) if c != 9]
 VERSION, GZIP_MEMBER, BREAK = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
 
 
@@ -73,6 +74,14 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
+def escaped_uri(url: Column) -> Column:
+    """url without what the reader takes for damage in a header line."""
+    safe = F.replace(url, F.lit("WARC/1."), F.lit("WARC%2F1."))
+    for c in _CONTROL:
+        safe = F.replace(safe, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(url.rlike(r"[\x00-\x08\x0A-\x1F]|WARC/1\."), safe).otherwise(url)
+
+
 def record_text(date: str = "1970-01-01T00:00:00Z") -> Column:
     """The bytes of a row's record, but for the last line feed, which the text writer adds."""
     revisit = F.col("refers_to").isNotNull()
@@ -82,7 +91,7 @@ def record_text(date: str = "1970-01-01T00:00:00Z") -> Column:
         F.lit("\r\n\r\n"),
     )
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    uri = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("unknown:")), "\r", "%0D"), "\n", "%0A")
+    uri = escaped_uri(F.coalesce("url", F.lit("unknown:")))
     return F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "),
         F.when(revisit, "revisit").otherwise("response"),
@@ -281,7 +290,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     page = lambda c: F.nullif(F.regexp_extract(c, "^urn:page:(.*)$", 1), F.lit("")).cast("long")
     return (
         read_archives(pages.sparkSession, path, with_payload=False)
-        .where("gap IS NULL")
+        .where(F.when(F.col("gap").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("own archive has a gap: "), "path", F.lit(" "), "gap")).cast("boolean")))
         .select(
             page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
         )

@@ -36,6 +36,17 @@ def test_round_trip(spark):
     assert got(warc.round_trip(table(spark))) == expected(PAGES)
 
 
+def test_every_page_comes_back_whatever_its_url(spark):
+    rows = [(i, f"http://a/{chr(i)}b", f"p{i}") for i in range(33)] + [(40, "http://a/WARC/1.0/x", "q"), (41, "WARC/1.WARC/1.\x01", "r"), (42, "\t", "s")]
+    assert got(warc.round_trip(table(spark, rows))) == expected(rows)
+
+
+def test_own_archives_with_a_gap_fail(spark, monkeypatch):
+    monkeypatch.setattr(warc, "escaped_uri", lambda url: url)
+    with pytest.raises(Exception, match="own archive has a gap"):
+        warc.round_trip(table(spark, [(1, "http://a/WARC/1.0/x", "q")])).collect()
+
+
 def test_shuffled_join_and_small_files(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(warc, "FILE_BYTES", 1000)
