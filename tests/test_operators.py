@@ -11,6 +11,8 @@ from quarry.operators import context, dedup, filters, graph, hybrid, lexical, pa
 from quarry.plans import manifest, questions
 from quarry.sources import documents, files
 
+from .conftest import SF
+
 
 def test_where(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "b", ""), (3, None, "x")], "doc_id int, k string, s string")
@@ -65,6 +67,14 @@ def test_knn_metrics_and_ivf_recall(spark):
     assert good.count() == 300 and bad.count() == 2
 
 
+def test_knn_in_blocks_of_queries(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vec"))
+    want = sorted(map(tuple, vector.knn(rows, q, 10).collect()))
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 3)
+    assert q.count() > 3 and sorted(map(tuple, vector.knn(rows, q, 10).collect())) == want
+
+
 def test_embedding_halves_failing_batches(spark):
     def encode(texts):
         if any("bad" in t for t in texts):
