@@ -4,14 +4,16 @@ A text is scanned as it stands. Then every stretch that looks encoded (URL escap
 base64, and the gzip or zlib streams that stand anywhere in their bytes) is unwrapped into a layer;
 layers are scanned and searched for further encoded stretches until none is left. Base64 is read from
 each of four alignments, so it may follow other letters of its alphabet, and over wrapped lines. Bytes
-that are not UTF-8 are replaced. A layer seen before is not taken again, so cycles end. Each character of a layer carries the place in the text that it came from, so finds in any layer
-are spans of the text, in code points.
-
-Edge cases: a null or empty text has no finds; equal finds of several layers are one; repeated rows
-are scanned each; an empty table gives no rows; other columns are carried along or ignored; texts are
-scanned whole, whatever their length. What a compressed stretch expands to is scanned in overlapping
-pieces of UNPACKED bytes, a bound on memory and not on what is found; a find longer than OVERLAP that
-crosses two pieces is found in parts.
+of a layer need not be UTF-8. A layer seen before is not taken again, so cycles end. Each character
+of a layer carries the place in the text that it came from, so finds in any layer are spans of the
+text, in code points. Layers are taken depth first, so that few of them are held at once.
+
+Edge cases: a null or empty text has no finds; equal finds of several layers are one; finds that tie
+in start are ordered by kind, then by end; repeated rows are scanned each; an empty table gives no
+rows; other columns are carried along or ignored. Texts are scanned whole, whatever their length: a
+stretch is found in time in proportion to it. What a compressed stretch expands to flows through in
+pieces of about PIECE bytes, which are cut only where no find and no encoded stretch can lie across
+(see CUT); streams inside it are expanded as it flows. A run without any such place is held whole.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,14 +40,24 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
 CUES = ("passw", "secret", "token", "api")
 
-URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-ESCAPED = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
+# Stretches begin at a fixed character or at the start of a run, so that a search takes linear time.
+RUN = re.compile(r"\S+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]*={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+\r?\n[\x20\t]*+)++[A-Za-z0-9+/_-]*+={0,2}")
 STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_PART = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-UNPACKED, OVERLAP = 16 << 20, 1 << 16
+#: Bytes of an expanded stream that are scanned at once, about, and that are expanded at once.
+PIECE, CHUNK = 4 << 20, 1 << 18
+#: Compressed bytes that tell a stream from those it lies in.
+HEAD = 4096
+#: Where a piece may end: after a character that no pattern takes, before white space; or after a short word between blanks.
+CUT = re.compile(
+    rb"""[^A-Za-z0-9+/_=\-%\\"':\s](?=\s)|(?<=\x20)[A-Za-z]{1,15}(?<!password)(?<!passwd)(?<!secret)(?<!token)(?<!apikey)(?=\x20)""",
+    re.IGNORECASE,
+)
+_HEX_VALUE = np.full(1 << 7, -1)
+_HEX_VALUE[list(b"0123456789")], _HEX_VALUE[list(b"abcdef")], _HEX_VALUE[list(b"ABCDEF")] = range(10), range(10, 16), range(10, 16)
 
 
 @dataclass(frozen=True)
@@ -71,99 +82,169 @@ def finds(text: str) -> list[tuple[str, int, int]]:
 
 
 def _spread(data: bytes, start: np.ndarray, stop: np.ndarray) -> Layer:
-    """Bytes as a layer, with each that is not UTF-8 replaced; start, stop: of each byte."""
+    """Bytes as a layer, one character to a byte: patterns take ASCII alone, which every encoding of text spells alike."""
+    return Layer(data.decode("latin-1"), start, stop)
+
+
+def _spelled_out(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of text, and the character that each belongs to."""
+    try:
+        data = np.frombuffer(text.encode("latin-1"), np.uint8)
+        return data, np.arange(len(data))
+    except UnicodeEncodeError:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        return data, np.cumsum((data & 0xC0) != 0x80) - 1
+
+
+def _inflated(data: bytes, at: int) -> tuple[int, bool]:
+    """Where the gzip or zlib stream at `at` ends, and whether it gives any byte."""
+    stream, gave, view = zlib.decompressobj(47), False, memoryview(data)
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        text = data.decode("utf-8", "surrogateescape")
-        point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        width = np.where((point >= 0xDC80) & (point <= 0xDCFF), 1, 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000))
-        end = np.cumsum(width)
-        return Layer(re.sub("[\udc80-\udcff]", "\ufffd", text), start[end - width], stop[end - 1])
-    lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    last = np.concatenate([lead[1:], [len(data)]]) - 1 if len(lead) else lead
-    return Layer(text, start[lead], stop[last])
-
-
-def _streams(data: bytes, start: np.ndarray, stop: np.ndarray, above: frozenset = frozenset()) -> Iterator[Layer]:
+        while at < len(data) and not stream.eof:
+            fed = view[at : at + CHUNK]
+            at += len(fed)
+            gave = len(stream.decompress(fed, CHUNK)) > 0 or gave
+            while stream.unconsumed_tail:
+                gave = len(stream.decompress(stream.unconsumed_tail, CHUNK)) > 0 or gave
+    except zlib.error:
+        pass
+    return at - len(stream.unused_data) if stream.eof else len(data), gave
+
+
+def _streams(data: bytes, start: np.ndarray, stop: np.ndarray) -> Iterator[Layer]:
     """What the gzip and zlib streams in data hold, each with the place of its own bytes; streams in streams too."""
-    at = 0
+    at, view = 0, memoryview(data)
     while (m := STREAM.search(data, at)) is not None:
         # A stream that ends is passed over; one that does not may begin at any byte.
-        stream, at = zlib.decompressobj(47), m.start() + 1
-        body, name = memoryview(data)[m.start() :], None
-        for plain in _unpacked(body, stream):
-            name = name or hashlib.blake2b(body, digest_size=16).digest()
-            if name in above:
-                break
-            end = len(data) - len(stream.unused_data) if stream.eof else len(data)
-            n, a, b = len(plain), start[m.start()], stop[end - 1]
-            starts, stops = np.full(n, a), np.full(n, b)
-            yield _spread(plain, starts, stops)
-            yield from _streams(plain, starts, stops, above | {name})
-        if stream.eof:
-            at = len(data) - len(stream.unused_data)
-
-
-def _unpacked(data: bytes, stream=None) -> Iterator[bytes]:
-    """What a gzip or zlib stream holds, in overlapping pieces that begin and end between characters."""
-    stream, kept = stream or zlib.decompressobj(47), b""
-    try:
-        while data and not stream.eof:
-            piece = kept + stream.decompress(data, UNPACKED)
-            data = stream.unconsumed_tail
-            if len(piece) == len(kept):
+        end, gave = _inflated(data, m.start())
+        if gave:
+            one = _Stream(int(start[m.start()]), int(stop[end - 1]), frozenset())
+            for k in range(m.start(), end, CHUNK):
+                if one.done:
+                    break
+                yield from one.feed(bytes(view[k : min(k + CHUNK, end)]))
+            yield from one.finish()
+        at = end if gave and end < len(data) else m.start() + 1
+
+
+class _Stream:
+    """A gzip or zlib stream that arrives in parts; gives the layers of what it holds. above: the streams it lies in."""
+
+    def __init__(self, start: int, stop: int, above: frozenset) -> None:
+        self.place, self.above, self.head, self.done = (start, stop), above, b"", False
+        self.inflate, self.inside = None, None
+
+    def feed(self, part: bytes) -> Iterator[Layer]:
+        if self.inflate is None:
+            self.head += part
+            if len(self.head) < HEAD:
                 return
-            cut = len(piece)
-            while data and cut > len(piece) - 4 and piece[cut - 1] & 0xC0 == 0x80:
-                cut -= 1
-            cut -= bool(data) and piece[cut - 1] >= 0xC0
-            yield piece[:cut]
-            from_ = max(0, cut - OVERLAP)
-            while from_ < cut and piece[from_] & 0xC0 == 0x80:
-                from_ += 1
-            kept = piece[from_:]
-    except zlib.error:
-        return
+            part = self._begin()
+        yield from self._expand(part)
+
+    def _begin(self) -> bytes:
+        name = hashlib.blake2b(self.head[:HEAD], digest_size=16).digest()
+        self.inflate, self.done = zlib.decompressobj(47), name in self.above
+        self.inside = _Inside(*self.place, self.above | {name})
+        return self.head
+
+    def _expand(self, part: bytes) -> Iterator[Layer]:
+        while part and not self.done:
+            try:
+                plain = self.inflate.decompress(part, CHUNK)
+            except zlib.error:
+                self.done = True
+                break
+            part = self.inflate.unconsumed_tail
+            if plain:
+                yield from self.inside.feed(plain)
+            self.done = self.inflate.eof
+        if self.done:
+            yield from self.inside.finish()
+
+    def finish(self) -> Iterator[Layer]:
+        if self.inflate is None:
+            yield from self._expand(self._begin())
+        if not self.done:
+            self.done = True
+            yield from self.inside.finish()
+
+
+class _Inside:
+    """Bytes that arrive in parts: their text in pieces, and the streams among them."""
+
+    def __init__(self, start: int, stop: int, above: frozenset) -> None:
+        self.place, self.above = (start, stop), above
+        self.text, self.tail, self.open, self.most = bytearray(), b"", [], PIECE
+
+    def feed(self, part: bytes) -> Iterator[Layer]:
+        for stream in self.open:
+            yield from stream.feed(part)
+        around = self.tail + part
+        for m in STREAM.finditer(around):
+            if m.end() > len(self.tail):
+                stream = _Stream(*self.place, self.above)
+                yield from stream.feed(around[m.start() :])
+                self.open.append(stream)
+        self.open = [x for x in self.open if not x.done]
+        self.tail = around[-2:]
+        self.text += part
+        if len(self.text) >= self.most:
+            cut = max((m.end() for m in CUT.finditer(self.text)), default=0)
+            # Without a place to cut, the next search waits until the run has doubled.
+            self.most = max(PIECE, 2 * (len(self.text) - cut))
+            if cut:
+                yield self._layer(bytes(self.text[:cut]))
+                del self.text[:cut]
+
+    def _layer(self, data: bytes) -> Layer:
+        n = len(data)
+        return _spread(data, np.broadcast_to(self.place[0], n), np.broadcast_to(self.place[1], n))
+
+    def finish(self) -> Iterator[Layer]:
+        if self.text:
+            yield self._layer(bytes(self.text))
+            self.text = bytearray()
+        for stream in self.open:
+            yield from stream.finish()
+        self.open = []
+
+
+def _digits(points: np.ndarray, ahead: int) -> np.ndarray:
+    """The value of the hex digit so many places after each point; negative if there is none."""
+    out = np.full(len(points), -1)
+    there = points[ahead:]
+    out[: len(there)] = np.where(there < 128, _HEX_VALUE[np.minimum(there, 127)], -1)
+    return out
 
 
 def _from_url(piece: Layer) -> Iterator[Layer]:
-    parts, starts, stops, at = [], [], [], 0
-    for m in _URL_PART.finditer(piece.text):
-        raw = piece.text[at : m.start()].encode("utf-8", "surrogatepass")
-        width = [len(c.encode("utf-8", "surrogatepass")) for c in piece.text[at : m.start()]]
-        parts.append(raw)
-        starts.append(np.repeat(piece.start[at : m.start()], width)), stops.append(np.repeat(piece.stop[at : m.start()], width))
-        parts.append(bytes.fromhex(m[0].replace("%", "")))
-        starts.append(piece.start[m.start() : m.end() : 3]), stops.append(piece.stop[m.start() + 2 : m.end() : 3])
-        at = m.end()
-    width = [len(c.encode("utf-8", "surrogatepass")) for c in piece.text[at:]]
-    parts.append(piece.text[at:].encode("utf-8", "surrogatepass"))
-    starts.append(np.repeat(piece.start[at:], width)), stops.append(np.repeat(piece.stop[at:], width))
-    data, start, stop = b"".join(parts), np.concatenate(starts), np.concatenate(stops)
-    yield _spread(data, start, stop)
-    yield from _streams(data, start, stop)
+    data, char = _spelled_out(piece.text)
+    high, low = _digits(data, 1), _digits(data, 2)
+    at = np.flatnonzero((data == 37) & (high >= 0) & (low >= 0))
+    stays, value, last = np.ones(len(data), bool), data.copy(), char.copy()
+    stays[at + 1] = stays[at + 2] = False
+    value[at], last[at] = high[at] * 16 + low[at], char[at + 2]
+    plain, start, stop = value[stays].tobytes(), piece.start[char[stays]], piece.stop[last[stays]]
+    yield _spread(plain, start, stop)
+    yield from _streams(plain, start, stop)
 
 
 def _from_escapes(piece: Layer) -> Iterator[Layer]:
-    parts, starts, stops, at = [], [], [], 0
-    for m in _ESCAPE_PART.finditer(piece.text):
-        parts += [piece.text[at : m.start()], chr(int(m[1] or m[2], 16))]
-        starts += [piece.start[at : m.start()], piece.start[m.start() : m.start() + 1]]
-        stops += [piece.stop[at : m.start()], piece.stop[m.end() - 1 : m.end()]]
-        at = m.end()
-    parts.append(piece.text[at:])
-    starts.append(piece.start[at:]), stops.append(piece.stop[at:])
-    text, start, stop = "".join(parts), np.concatenate(starts), np.concatenate(stops)
+    point = np.frombuffer(piece.text.encode("utf-32-le", "surrogatepass"), "<u4")
+    digit = [_digits(point, k) for k in range(2, 6)]
+    mark = np.concatenate([point[1:], [0]])
+    short = (point == 92) & (mark == ord("x")) & (digit[0] >= 0) & (digit[1] >= 0)
+    long = (point == 92) & (mark == ord("u")) & np.logical_and.reduce([d >= 0 for d in digit])
+    stays, value, last = np.ones(len(point), bool), point.copy(), np.arange(len(point))
+    for which, n in ((np.flatnonzero(short), 2), (np.flatnonzero(long), 4)):
+        value[which] = sum(d[which] << (4 * (n - 1 - k)) for k, d in enumerate(digit[:n]))
+        last[which] += n + 1
+        for k in range(1, n + 2):
+            stays[which + k] = False
+    text, start, stop = value[stays].tobytes().decode("utf-32-le", "surrogatepass"), piece.start[stays], piece.stop[last[stays]]
     # Escapes may spell bytes, one to a character.
     yield from _streams(text.encode("latin-1", "replace"), start, stop)
-    # Escapes may spell surrogate pairs: two characters that make one.
-    if re.search("[\ud800-\udbff][\udc00-\udfff]", text):
-        first = np.array([not "\udc00" <= c <= "\udfff" for c in text])
-        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        start, stop = start[first], stop[np.concatenate([np.flatnonzero(first)[1:], [len(first)]]) - 1]
-        if len(start) != len(text):
-            return
     yield Layer(text, start, stop)
 
 
@@ -195,15 +276,17 @@ def _from_wrapped(piece: Layer) -> Iterator[Layer]:
 def _inner(layer: Layer) -> Iterator[Layer]:
     """What the encoded stretches of a layer hold."""
     text = layer.text
-    kinds = [(BASE64, _from_base64)]
+    kinds = [(BASE64, None, _from_base64)]
     if "\n" in text:
-        kinds.append((WRAPPED, _from_wrapped))
+        kinds.append((WRAPPED, None, _from_wrapped))
     if "%" in text:
-        kinds.append((URL, _from_url))
+        kinds.append((RUN, _URL_PART, _from_url))
     if "\\" in text:
-        kinds.append((ESCAPED, _from_escapes))
-    for pattern, unwrap in kinds:
+        kinds.append((RUN, _ESCAPE_PART, _from_escapes))
+    for pattern, sign, unwrap in kinds:
         for m in pattern.finditer(text):
+            if sign is not None and sign.search(text, m.start(), m.end()) is None:
+                continue
             piece = Layer(m[0], layer.start[m.start() : m.end()], layer.stop[m.start() : m.end()])
             for found in unwrap(piece):
                 if found.text and found.text != piece.text:
@@ -226,16 +309,19 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     if not text:
         return [], []
     base = sorted(finds(text), key=order)
-    every, seen, work = set(base), set(), deque(_inner(Layer(text, _Whole(0), _Whole(1))))
+    every, seen, work = set(base), set(), [_inner(Layer(text, _Whole(0), _Whole(1)))]
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         name = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(layer.start[0]), int(layer.stop[-1]))
         if name in seen:
             continue
         seen.add(name)
         for kind, a, b in finds(layer.text):
             every.add((kind, int(layer.start[a:b].min()), int(layer.stop[a:b].max())))
-        work.extend(_inner(layer))
+        work.append(_inner(layer))
     return base, sorted(every, key=order)
 
 

@@ -1,6 +1,8 @@
 import base64
 import gzip
+import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -88,14 +90,69 @@ def test_redacted_docs_keep_rows_and_columns(spark):
     assert out.columns == df.columns and sorted(r.text or "" for r in out.collect()) == ["", "a [assign] b", "a [assign] b", "clean"]
 
 
-def test_large_expansions_are_scanned_in_pieces(monkeypatch):
-    monkeypatch.setattr(secrets, "UNPACKED", 1000)
-    monkeypatch.setattr(secrets, "OVERLAP", 100)
-    body = ("é word " * 900 + SECRET + " " + "ü x " * 700).encode()
-    pieces = [p.decode() for p in secrets._unpacked(gzip.compress(body))]
-    assert len(pieces) > 5 and all(p in body.decode() for p in pieces)
-    text = "x " + b64(gzip.compress(body, mtime=0)) + " y"
-    assert secrets.scan(text)[1] == [("assign", 2, len(text) - 2)]
+@pytest.mark.parametrize("blank", [", ", " ", "; é ", "\n"])
+def test_nothing_is_lost_between_pieces(monkeypatch, blank):
+    """Finds, encoded stretches and streams that are longer than a piece, or lie where one could end."""
+    monkeypatch.setattr(secrets, "PIECE", 300)
+    monkeypatch.setattr(secrets, "CHUNK", 64)
+    r = random.Random(3)
+    filler = lambda n: blank.join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 12))) for _ in range(n))
+    inner = b64((filler(400) + " " + SECRET + " " + filler(400)).encode())
+    for hidden in (
+        inner, b64(gzip.compress(inner.encode(), mtime=0)), "secret = " + "k" * 5000, gzip.compress((filler(300) + SECRET).encode(), mtime=0),
+        base64.encodebytes((filler(200) + " " + SECRET).encode()).decode(), "".join(f"%{c:02X}" for c in (filler(80) + SECRET).encode()),
+    ):
+        body = filler(300).encode() + b" " + (hidden.encode() if isinstance(hidden, str) else hidden) + b" " + filler(300).encode()
+        text = "x " + b64(gzip.compress(body, mtime=0)) + " y"
+        assert ("assign", 2, len(text) - 2) in secrets.scan(text)[1]
+
+
+ENCODERS = {
+    "base64": lambda b, r: base64.b64encode(b),
+    "urlsafe": lambda b, r: base64.urlsafe_b64encode(b).rstrip(b"="),
+    "lines": lambda b, r: base64.encodebytes(b),
+    "quoted": lambda b, r: b"".join(b"%%%02x" % c if r.random() < 0.5 or c in b"% \n\r\t" or c > 126 else bytes([c]) for c in b),
+    "escaped": lambda b, r: b"".join(b"\\x%02X" % c if r.random() < 0.5 or c > 126 or c < 33 or c == 92 else bytes([c]) for c in b),
+    "gzip": lambda b, r: base64.b64encode(gzip.compress(b, mtime=0)),
+    "zlib": lambda b, r: base64.b64encode(zlib.compress(b)),
+}
+
+
+def test_any_chain_of_encodings_is_found_where_it_stands():
+    """Secrets hidden by chains of independent encoders; nothing outside the blobs is reported."""
+    r = random.Random(11)
+    for _ in range(150):
+        parts, want, at = [], [], 0
+        for k in range(r.randint(1, 3)):
+            chain = [r.choice(sorted(ENCODERS)) for _ in range(r.randint(1, 4))]
+            blob = f"it {SECRET}{k} so".encode()
+            for name in chain:
+                blob = ENCODERS[name](blob, r)
+            plain = " plain é words here, " * r.randint(1, 3)
+            parts += [plain, blob.decode()]
+            want.append((at + len(plain), at + len(plain) + len(blob.decode()), chain))
+            at += len(plain) + len(blob.decode())
+        text = "".join(parts)
+        own, every = secrets.scan(text)
+        assert own == base(text)
+        for a, z, chain in want:
+            assert any(kind == "assign" and a <= s < e <= z for kind, s, e in every), chain
+        for x in every:
+            assert x in own or any(a <= x[1] < x[2] <= z for a, z, _ in want)
+
+
+def test_streams_that_hold_themselves_end():
+    one = zlib.compress(b"x")
+    # A stored block that repeats its own head, again and again.
+    text = b64(one + one * 50 + b"\x78\x01" * 400)
+    assert secrets.scan(text)[0] == base(text)
+
+
+def test_long_runs_take_time_in_proportion():
+    for text in ("a" * 600_000 + "%41" + "b" * 600_000, "a" * 600_000 + "\\x41" + "b" * 600_000, "x%41y\\x42" * 120_000, "%" * 600_000 + "\\" * 600_000):
+        began = time.monotonic()
+        secrets.scan(text)
+        assert time.monotonic() - began < 30
 
 
 packed = gzip.compress(f"so {SECRET} it".encode() + bytes(range(256)) * 3, mtime=0)  # noqa: E305
