@@ -13,10 +13,11 @@ size; the others meet their counts in a shuffle, so that no vocabulary needs to
 
 Texts are lower-cased in A-Z and taken as UTF-8; byte 0 ends a text and pads the first contexts.
 
-Edge cases: a null text is empty: one token, the end; repeated rows of a doc_id get the mean of what
-they get each; a null doc_id counts as neither held out nor training; an empty table gives no rows;
-without training texts every byte is equally likely; other columns are ignored; texts are scored
-whole. Words are told apart by 64-bit hashes.
+Edge cases: a null text is empty: one token, the end; every row is scored on its own, also rows that
+repeat a doc_id or have none, and equal texts get equal scores; a null doc_id counts as neither held
+out nor training; an empty table gives no rows; without training texts every byte is equally likely;
+other columns are ignored; texts are scored whole. Words are told apart by 64-bit hashes. A row's
+parts meet by its number in the table, so docs should be a table that is read, not one computed anew.
 """
 
 from __future__ import annotations
@@ -32,10 +33,8 @@ from quarry.llm import packed, wordhash
 from quarry.llm.tables import written
 from quarry.llm.wordhash import U
 
-#: Three-byte contexts of the broadcast trie (1 KB each in a worker).
-BROADCAST_CONTEXTS = 1 << 17
-#: Three-byte contexts beyond which two-byte ones are used for all; None: never.
-MOST_CONTEXTS = None
+#: Three-byte contexts of the broadcast trie (1 KB each in a worker), and their counts (12 bytes each on the driver).
+BROADCAST_CONTEXTS, BROADCAST_CODES = 1 << 17, 1 << 22
 #: Words of the broadcast table.
 FREQUENT = 1 << 18
 #: The smoothing of the unigram model.
@@ -46,7 +45,8 @@ _WORD = np.dtype([("h", "<u8"), ("n", "<i8")])
 _CODE = np.dtype([("c", "<u4"), ("n", "<i8")])
 _USE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("n", "<i8")])
 _SYMBOL = np.dtype([("c", "<u4"), ("n", "<u4"), ("doc", "<i8")])
-_DOC = np.dtype([("doc", "<i8"), ("rows", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+#: doc: the row's number; rows: 1 where id is the row's doc_id, with the rest of the row's own part.
+_DOC = np.dtype([("doc", "<i8"), ("rows", "<i8"), ("id", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 _NO_ID = np.iinfo(np.int64).min
 #: The hash that stands for the end of a text.
 END = U(0x5851F42D4C957F2D)
@@ -312,9 +312,9 @@ def _trie(name: str, *data) -> Trie | Shard:
     return _TRIES[name]
 
 
-def fitted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, int, tuple[np.ndarray, np.ndarray] | None]:
-    """(codes, counts, order, base): base holds the counts of two-byte contexts if codes has only the most frequent
-    of the three-byte contexts, by powers of two, at most BROADCAST_CONTEXTS of them."""
+def fitted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """(codes, counts, base): base holds the counts of two-byte contexts if codes has only the most frequent of the
+    three-byte contexts, by powers of two, within BROADCAST_CONTEXTS and BROADCAST_CODES."""
     trie = model.where("kind = 1").select("payload")
 
     def times(rows):
@@ -325,14 +325,22 @@ def fitted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, int, tuple[np.ndar
 
     def sizes(batches):
         for batch in batches:
-            out = np.zeros(64, np.int64)
+            contexts, codes = np.zeros(64, np.int64), np.zeros(64, np.int64)
             for x in batch.column(0):
-                out += np.bincount(times(np.frombuffer(x.as_buffer(), _CODE))[1], minlength=64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(out)], ["e", "n"])
-
-    have = {r["e"]: r["n"] for r in trie.mapInArrow(sizes, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).collect()}
-    shallow, base = MOST_CONTEXTS is not None and sum(have.values()) > MOST_CONTEXTS, None
-    if shallow or sum(have.values()) > BROADCAST_CONTEXTS:
+                row, size = times(np.frombuffer(x.as_buffer(), _CODE))
+                contexts += np.bincount(size, minlength=64)
+                codes += np.bincount(size[row], minlength=64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(contexts), pa.array(codes)], ["e", "n", "m"])
+
+    found = trie.mapInArrow(sizes, "e long, n long, m long").groupBy("e").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
+    have, base = {r["e"]: (r["n"], r["m"]) for r in found}, None
+    least, contexts, codes = 64, 0, 0
+    while least > 0:
+        n, m = have.get(least - 1, (0, 0))
+        if contexts + n > BROADCAST_CONTEXTS or codes + m > BROADCAST_CODES:
+            break
+        least, contexts, codes = least - 1, contexts + n, codes + m
+    if least > 0:
 
         def shorter(batches):
             for batch in batches:
@@ -346,12 +354,6 @@ def fitted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, int, tuple[np.ndar
         rows = trie.mapInArrow(shorter, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
         code, n = rows["c"].to_numpy().astype(np.uint32), rows["n"].to_numpy().astype(np.int64)
         base = code[np.argsort(code)], n[np.argsort(code)]
-        if shallow:
-            return *base, 2, None
-        least, total = 64, 0
-        while least > 0 and total + have.get(least - 1, 0) <= BROADCAST_CONTEXTS:
-            least -= 1
-            total += have.get(least, 0)
 
         def frequent(batches):
             for batch in batches:
@@ -363,7 +365,7 @@ def fitted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, int, tuple[np.ndar
         trie = trie.mapInArrow(frequent, "payload binary")
     raw = b"".join(r["payload"] for r in trie.collect())
     rows = np.sort(np.frombuffer(raw, _CODE), order="c")
-    return rows["c"].copy(), rows["n"].copy(), 3, base
+    return rows["c"].copy(), rows["n"].copy(), base
 
 
 def _frequent(model: DataFrame) -> np.ndarray:
@@ -401,9 +403,10 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
     chosen = docs.where(remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT if train is None else train).where("doc_id IS NOT NULL")
     model = written(trained(chosen), "ppm-model")
-    codes, counts, order, base = fitted(model)
+    codes, counts, base = fitted(model)
     top = _frequent(model)
 
     def totals(batches):
@@ -417,7 +420,7 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
     # A vocabulary of nothing still has the end, unseen.
     floor = total + ADDED * (distinct + 1)
     n = packed.buckets(docs)
-    trie_data, name = spark.sparkContext.broadcast((codes, counts, order, base)), uuid.uuid4().hex
+    trie_data, name = spark.sparkContext.broadcast((codes, counts, 3, base)), uuid.uuid4().hex
     base_data = spark.sparkContext.broadcast(base) if base else None
     top_data = spark.sparkContext.broadcast(top)
 
@@ -436,9 +439,10 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
                 yield from packed.dealt(_context_bucket(rows["c"], n), rows, 4)
 
         for batch in batches:
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column(2).to_numpy()
             out = np.zeros(batch.num_rows, _DOC)
             out["doc"], out["rows"] = ids, 1
+            out["id"] = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             for stream, places, text, row in _streams(batch.column(1)):
                 each = trie.score(stream, places)
                 if base_data:
@@ -499,19 +503,21 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
             rows = np.concatenate(parts) if parts else np.zeros(0, _DOC)
             if len(rows):
                 doc, at = np.unique(rows["doc"], return_inverse=True)
-                sums = [np.bincount(at, rows[c]) for c in _DOC.names[1:]]
-                arrays = [pa.array(doc), *(pa.array(s.astype(np.int64)) for s in sums[:3]), *(pa.array(s) for s in sums[3:])]
-                yield pa.RecordBatch.from_arrays(arrays, list(_DOC.names))
-
-    blocks = docs.mapInArrow(deal, packed.BLOCKS).union(model if base else model.where("kind = 0"))
-    parts = packed.by_bucket(blocks).mapInArrow(meet, "doc long, rows long, tokens long, known long, base double, score double")
-    sums = parts.groupBy("doc").agg(*(F.sum(c).alias(c) for c in _DOC.names[1:])).where("rows > 0")
-    mean = lambda c: (F.col(c) / F.col("rows"))
-    return sums.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(
-        F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"),
-        mean("tokens").cast("long").alias("n_tokens"),
-        mean("known").cast("long").alias("n_known"),
+                out = np.zeros(len(doc), _DOC)
+                out["doc"] = doc
+                for c in _DOC.names[1:]:
+                    np.add.at(out[c], at, rows[c])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[c])) for c in _DOC.names], list(_DOC.names))
+
+    blocks = numbered.mapInArrow(deal, packed.BLOCKS).union(model if base else model.where("kind = 0"))
+    kinds = {"base": "double", "score": "double"}
+    parts = packed.by_bucket(blocks).mapInArrow(meet, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in _DOC.names))
+    sums = parts.groupBy("doc").agg(*(F.sum(c).alias(c) for c in _DOC.names[1:]))
+    return sums.select(
+        F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"),
+        F.col("tokens").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        mean("base").alias("base_score"),
-        mean("score").alias("score"),
+        F.col("base").alias("base_score"),
+        "score",
     )

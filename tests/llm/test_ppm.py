@@ -90,11 +90,6 @@ def test_rare_words_meet_their_counts_in_the_shuffle(spark, monkeypatch):
     check(spark, ROWS)
 
 
-def test_shorter_contexts_beyond_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "MOST_CONTEXTS", 10)
-    check(spark, ROWS, order=2)
-
-
 def test_held_out_texts_of_the_corpus_are_likelier_than_noise(spark):
     rows = awkward(seed=8, n=100)
     noise = [(1000 + i, " ".join("xqzjkv"[(i + k) % 6] * 4 for k in range(20)), None, None, 0) for i in range(5)]
@@ -115,3 +110,17 @@ def test_three_byte_contexts_at_every_size(spark, monkeypatch, most):
     monkeypatch.setattr(ppm, "BROADCAST_CONTEXTS", most)
     monkeypatch.setattr(ppm.Shard, "CONTEXTS", 7)
     check(spark, ROWS)
+
+
+def test_rows_without_an_id_are_scored_apart(spark):
+    texts = ["x", "completely different longer text here", None, "x"]
+    rows = [(None, t, None, None, 0) for t in texts] + [(7, "x", None, None, 0), (7, "y z", None, None, 0), (3, "x y", None, None, 0)]
+    out = ppm.scored(frame(spark, rows)).collect()
+    assert sorted(r.n_tokens for r in out if r.doc_id is None) == [1, 2, 2, 6]
+    assert sorted(r.n_tokens for r in out if r.doc_id == 7) == [2, 3]
+    assert len({r.score for r in out if r.n_tokens == 2}) == 1
+
+
+def test_codes_bound_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "BROADCAST_CODES", 200)
+    check(spark, ROWS)
