@@ -5,73 +5,92 @@ with a space at either end, into character n-grams of the greatest length of whi
 and scored by the mean over those; if it saw none, shorter n-grams are tried. A language that lacks a
 word or n-gram that others have gets a fixed penalty. A text's score is the mean over its words.
 
-The model is fitted on a documented sample (SAMPLE_DOCS documents in expectation); every document is
-predicted from its whole text alone.
-
-Edge cases: a null text, or one without a letter, is `und` with score 0; so is every text if nothing
-was learned; ties go to the first language by code point; repeated rows are predicted each; an empty
-table gives no rows; other columns are ignored.
+The model is fitted on a documented sample: whole documents, as many of each language as of another,
+at most SAMPLE_DOCS of them with at most SAMPLE_CHARS characters. It keeps all that these documents
+hold, so its size is bounded by theirs. Every document is predicted from its whole text alone.
+
+Edge cases: a null text, or one without a letter (a character of category L), is `und` with score 0;
+so is every text if nothing was learned; ties go to the first language by code point; in the sample,
+equal documents count once, and rows without doc_id are taken like others; repeated rows are predicted
+each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents that the model is fitted on, in expectation, and entries that it keeps of words and of
-#: n-grams of each length, the most frequent first. These bound what is broadcast.
-SAMPLE_DOCS, MOST_WORDS, MOST_GRAMS = 5_000, 200_000, 50_000
+from quarry.llm.tables import written
+
+#: Bounds of the sample that the model is fitted on, and so of what is broadcast.
+SAMPLE_DOCS, SAMPLE_CHARS = 5_000, 8 << 20
 LENGTHS = (4, 3, 2, 1)
 #: -log10 of the frequency that an absent entry counts as.
 PENALTY = 7.0
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters. What isalnum() takes beside letters and digits (fractions, superscripts, numerals) is left out.
+LETTERS = re.compile(r"[^\W\d_" + "".join(re.escape(c) for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()) + "]+")
 #: Unseen words whose scores a worker keeps.
 KEPT_WORDS = 100_000
 
 
-def _counts(rows: DataFrame, key: str, most: int) -> list:
-    """(key, {lang: n}) of the most frequent keys."""
-    per = rows.groupBy(key, "lang").agg(F.sum("n").alias("n")).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all")
-    )
-    return [(r[key], r["by"]) for r in per.orderBy(F.desc("all"), key).limit(most).select(key, "by").collect()]
+class Table:
+    """What each entry saves of the penalty in the languages that have it: rows of a sparse matrix."""
+
+    def __init__(self, index: dict[str, int], first: np.ndarray, lang: np.ndarray, saved: np.ndarray, width: int) -> None:
+        self.index, self.first, self.lang, self.saved, self.width = index, first, lang, saved, width
 
+    def cost(self, rows: list[int], times: np.ndarray) -> np.ndarray:
+        """The summed cost, in each language, of rows that occur so many times."""
+        rows = np.asarray(rows)
+        begin, size = self.first[rows], self.first[rows + 1] - self.first[rows]
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        return PENALTY * times.sum() - np.bincount(self.lang[at], np.repeat(times, size) * self.saved[at], minlength=self.width)
 
-def _table(entries: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Index and -log10 relative frequencies of entries in each language."""
-    n = np.array([[by.get(x, 0) for x in langs] for _, by in entries], float).reshape(len(entries), len(langs))
-    share = n / np.maximum(n.sum(0), 1)
-    cost = np.where(n > 0, -np.log10(np.maximum(share, 1e-300)), PENALTY)
-    return {k: i for i, (k, _) in enumerate(entries)}, np.minimum(cost, PENALTY)
+
+def _table(rows: DataFrame, key: str, langs: list[str]) -> Table:
+    """The table of rows(key, lang, n)."""
+    found = rows.groupBy(key, "lang").agg(F.sum("n").cast("double").alias("n")).toArrow().sort_by(key)
+    names, n = found[key].to_pylist(), found["n"].to_numpy()
+    place = {x: i for i, x in enumerate(langs)}
+    lang = np.array([place[x] for x in found["lang"].to_pylist()], np.int64)
+    saved = np.maximum(PENALTY + np.log10(n / np.bincount(lang, n, minlength=len(langs))[lang]), 0.0)
+    index: dict[str, int] = {}
+    first = []
+    for i, name in enumerate(names):
+        if name not in index:
+            index[name] = len(index)
+            first.append(i)
+    return Table(index, np.array([*first, len(names)], np.int64), lang, saved, len(langs))
 
 
 class Model:
-    """langs, and for words and each n-gram length an index and a table of costs."""
+    """langs, and tables for words and for each n-gram length."""
 
-    def __init__(self, langs, words, grams) -> None:
+    def __init__(self, langs: list[str], words: Table, grams: dict[int, Table]) -> None:
         self.langs, self.words, self.grams, self._unseen = langs, words, grams, {}
 
     def unseen(self, word: str) -> np.ndarray | None:
         """Costs of a word that training did not see."""
         padded = f" {word} "
         for n in LENGTHS:
-            index, table = self.grams[n]
-            rows = [index[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in index]
+            table = self.grams[n]
+            rows = [table.index[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in table.index]
             if rows:
-                return table[rows].mean(0)
+                return table.cost(rows, np.ones(len(rows))) / len(rows)
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(LETTERS.findall(text.lower())) if text else None
         if not found or not self.langs:
             return "und", 0.0
-        index, table = self.words
+        index = self.words.index
         rows, times, total, n = [], [], np.zeros(len(self.langs)), 0
         for word, k in found.items():
             row = index.get(word)
@@ -79,17 +98,16 @@ class Model:
                 rows.append(row)
                 times.append(k)
                 continue
-            cost = self._unseen.get(word)
-            if cost is None:
+            if word not in self._unseen:
                 if len(self._unseen) >= KEPT_WORDS:
                     self._unseen.clear()
-                cost = self.unseen(word)
-                self._unseen[word] = cost if cost is not None else False
-            if cost is not None and cost is not False:
+                self._unseen[word] = self.unseen(word)
+            cost = self._unseen[word]
+            if cost is not None:
                 total += k * cost
                 n += k
         if rows:
-            total += np.array(times) @ table[rows]
+            total += self.words.cost(rows, np.array(times))
             n += sum(times)
         if not n:
             return self.langs[0], 1.0 / len(self.langs)
@@ -99,17 +117,37 @@ class Model:
         return self.langs[best], float(1.0 / weight.sum())
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def sample(docs: DataFrame, most_docs: int, most_chars: int) -> DataFrame:
+    """(lang, text): at most so many whole documents and characters, of no document over 1/64 of most_chars.
+
+    In the order of a hash, the first of every language is taken, then the second of each, and so on. Equal
+    documents count once. Of more languages than documents, the most frequent are learned.
+    """
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_all")).orderBy(F.desc("_all"), "lang").limit(most_docs)
+    # By language about twice as many rows as can be taken go on, so that no language is dealt out whole.
+    near = (
+        known.join(F.broadcast(langs), "lang")
+        .where((F.pmod("_h", "_all") < 2 * most_docs) & (64 * F.length("text") <= most_chars))
+        .select("lang", "_h", F.length("text").alias("_chars"))
+        .distinct()
+    )
+    order = ("_rank", "_h", "lang")
+    first = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).orderBy(*order).limit(most_docs)
+    so_far = F.sum("_chars").over(Window.partitionBy().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("_so_far", so_far).where(F.col("_so_far") <= most_chars).select("lang", "_h")
+    return known.join(F.broadcast(written(chosen, "langid-sample")), ["lang", "_h"]).dropDuplicates(["lang", "_h"]).select("lang", "text")
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """The model from docs(doc_id, text, lang); rows without text or lang teach nothing."""
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    total = known.select("doc_id", "lang").count()
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(total, 1))) < sample_docs)
-    words = (
-        some.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    words = written(
+        sample(docs, sample_docs, sample_chars)
+        .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
         .where("word <> ''")
         .groupBy("lang", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .cache()
+        .agg(F.count(F.lit(1)).alias("n")),
+        "langid-words",
     )
     langs = sorted((r[0] for r in words.select("lang").distinct().collect()), key=lambda x: x.encode("utf-8", "surrogatepass"))
     padded = words.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w"))
@@ -118,10 +156,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         cut = padded.where(F.length("w") >= n).select(
             "lang", "n", F.explode(F.expr(f"transform(sequence(1, length(w) - {n - 1}), i -> substr(w, i, {n}))")).alias("gram")
         ).where("gram <> ' '")
-        grams[n] = _table(_counts(cut, "gram", MOST_GRAMS), langs)
-    out = Model(langs, _table(_counts(words, "word", MOST_WORDS), langs), grams)
-    words.unpersist()
-    return out
+        grams[n] = _table(cut, "gram", langs)
+    return Model(langs, _table(words, "word", langs), grams)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
