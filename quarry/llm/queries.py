@@ -76,18 +76,24 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+#: Of about one response in so many, a torn attempt precedes the record: damage that the reader must salvage from.
+TORN_ONE_IN = 50
+
+
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages"), torn_one_in=TORN_ONE_IN)
 
 
-OP4_SQL = r"""
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+OP4_SQL = rf"""
+WITH p AS (SELECT page_id, html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_page FROM p)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          (1 + (((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT) >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1)), '') AS payload_digest,
        CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+       CASE WHEN page_id <> first_page THEN first_page END AS refers_to,
+       (page_id = first_page AND NOT contains(coalesce(html, ''), 'WARC/1.')
+        AND ('0x' || substr(md5(page_id::VARCHAR), 1, 7))::BIGINT % {TORN_ONE_IN} = 0)::BIGINT AS gaps
 FROM f
 """
 

@@ -2,6 +2,8 @@
 
 The writer composes records as strings of exact WARC 1.0 bytes and hands them to Spark's own text
 writer, so archives reach any file system Spark can write and are committed like any other output.
+Asked to, it leaves torn first attempts of some records before the whole ones, as a crawler that
+breaks off and tries again does, so that a round trip meets damage.
 
 The reader checks each record (version line, headers, Content-Length, end mark, payload digest). After
 a failed check it searches for the next gzip member or version line at which a record passes all
@@ -10,8 +12,9 @@ checks, goes on there, and logs the bytes between as a quarantined gap.
 Edge cases: a null payload is empty; a null url is written as `unknown:`; in urls, control characters
 and the slash of a version line are escaped; rows that repeat a page_id are records each, and those of the response's id are responses; a
 row without page_id is a response unless a row with an id has its payload; an empty table gives no
-archives and no rows; other columns are ignored. A record lies in one file, which is read as a whole,
-so a payload must be shorter than 2 GB.
+archives and no rows; of equal payloads, the smallest page_id is the response, and ties of it are all
+responses; other columns are ignored. A record lies in one file, which is read as a whole, so a file
+must be shorter than 2 GB; gzip members are inflated in parts, in time in proportion to their bytes.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.tables import new_path, written
 
-#: Bytes of an archive file, about.
-FILE_BYTES = 8 << 20
+#: Bytes of an archive file, about, and bytes of a gzip member that are inflated at once.
+FILE_BYTES, CHUNK = 8 << 20, 1 << 20
 #: Payload groups up to which the table of first pages is broadcast; beyond, the join shuffles.
 BROADCAST_GROUPS = 500_000
 #: Fixed values of the formats.
@@ -113,11 +116,26 @@ def record_text(date: str = "1970-01-01T00:00:00Z") -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """A WARC record for each of pages(page_id, url, html), in files of about FILE_BYTES under path."""
+def torn(one_in: int) -> Column:
+    """Whether a torn attempt precedes the record: of responses about one in so many, by a hash of the page_id.
+
+    A payload that may hold a record of its own is not torn: the reader would take that record for one that survived.
+    """
+    digest = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    return F.col("refers_to").isNull() & ~F.col("payload").contains("WARC/1.") & (F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % one_in == 0)
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, torn_one_in: int | None = None) -> None:
+    """A WARC record for each of pages(page_id, url, html), in files of about FILE_BYTES under path.
+
+    torn_one_in: of about one response in so many, two thirds stand before the whole record.
+    """
     rows = with_revisits(pages, least_bytes)
+    record = record_text()
+    if torn_one_in:
+        record = F.when(torn(torn_one_in), F.concat(F.left(record, (F.length(record) * 2 / 3).cast("int")), record)).otherwise(record)
     mean = pages.select(F.avg(F.octet_length("html")).alias("m")).first()["m"] or 0.0
-    rows.select(record_text().alias("value")).write.option("lineSep", "\n").option(
+    rows.select(record.alias("value")).write.option("lineSep", "\n").option(
         "maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 600)))
     ).text(path)
 
@@ -191,14 +209,18 @@ def _record(data: bytes, at: int) -> Record:
 def _unit(data: bytes, at: int) -> tuple[list[Record], int]:
     """The records of the gzip member or the plain record at `at`, and where the next unit begins."""
     if data.startswith(GZIP_MEMBER, at):
-        member = zlib.decompressobj(31)
+        member, view, end, parts = zlib.decompressobj(31), memoryview(data), at, []
         try:
-            plain = member.decompress(data[at:]) + member.flush()
+            while end < len(data) and not member.eof:
+                fed = view[end : end + CHUNK]
+                end += len(fed)
+                parts.append(member.decompress(fed))
         except zlib.error as e:
             raise Damage(f"gzip member: {e}") from None
         if not member.eof:
             raise Damage("gzip member without end")
-        end = len(data) - len(member.unused_data)
+        end -= len(member.unused_data)
+        plain = b"".join(parts)
         records, inner = [], 0
         while inner < len(plain):
             records.append(_record(plain, inner))
@@ -247,30 +269,37 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 
 _READ = (
     "path string, offset long, length long, record_type string, record_id string, refers_to string, uri string,"
-    " payload_digest string, payload_bytes long, payload binary, gap string"
+    " payload_digest string, payload_bytes long, payload binary, gap string, gaps long"
 )
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """A row for each record and, with `gap` set to the reason, for each quarantined stretch of bytes."""
+    """A row for each record and, with `gap` set to the reason, for each quarantined stretch of bytes.
+
+    gaps: of a record, the quarantined stretches since the record before it; of a stretch, 1 if no record follows
+    it in its file and 0 otherwise.
+    """
 
     def run(batches):
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
+                rows, gaps = [], []
                 for x in salvage(content.as_py()):
                     if isinstance(x, Gap):
-                        rows.append((where, x.offset, x.length, None, None, None, None, None, None, None, x.reason))
+                        gaps.append((where, x.offset, x.length, None, None, None, None, None, None, None, x.reason))
                         continue
+                    rows += [(*g, 0) for g in gaps]
                     size = x.http.get("content-length", "") if x.kind == "revisit" else str(len(x.payload))
                     ident = lambda k, h=x.headers: h[k].strip("<>") if k in h else None
                     rows.append(
                         (
                             where, x.offset, x.length, x.kind, ident("warc-record-id"), ident("warc-refers-to"), x.headers.get("warc-target-uri"),
                             x.headers.get("warc-payload-digest", "").rpartition(":")[2] or base64.b32encode(hashlib.sha1(x.payload).digest()).decode(),
-                            int(size) if size.isdigit() else None, x.payload if with_payload and x.kind != "revisit" else None, None,
+                            int(size) if size.isdigit() else None, x.payload if with_payload and x.kind != "revisit" else None, None, len(gaps),
                         )
                     )
+                    gaps = []
+                rows += [(*g, 1) for g in gaps]
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in rows], schema=_SCHEMA)
 
@@ -283,15 +312,21 @@ _SCHEMA = pa.schema(
 _NAMES = _SCHEMA.names
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes pages as archives in the shared folder and reads them back: what the archives say of each."""
+def round_trip(pages: DataFrame, torn_one_in: int | None = None) -> DataFrame:
+    """Writes pages as archives in the shared folder and reads them back: what the archives say of each.
+
+    gaps: quarantined stretches that precede the record, none unless torn_one_in asks for damage: then a response may
+    have its torn attempt before it. A gap in any other place fails the query.
+    """
     path = new_path(pages.sparkSession, "warc")
-    write_archives(pages, path)
+    write_archives(pages, path, torn_one_in=torn_one_in)
     page = lambda c: F.nullif(F.regexp_extract(c, "^urn:page:(.*)$", 1), F.lit("")).cast("long")
-    return (
-        read_archives(pages.sparkSession, path, with_payload=False)
-        .where(F.when(F.col("gap").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("own archive has a gap: "), "path", F.lit(" "), "gap")).cast("boolean")))
-        .select(
-            page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
-        )
+    rows = read_archives(pages.sparkSession, path, with_payload=False).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "gap", "gaps"
     )
+    most = 1 if torn_one_in else 0
+    lost = F.col("gaps") > F.when(F.col("gap").isNull() & F.col("refers_to").isNull(), F.lit(most)).otherwise(F.lit(0))
+    said = F.raise_error(F.concat(F.lit("own archive is damaged: "), F.coalesce("gap", F.lit("page ")), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    # Not in the filter itself, which may be taken apart and evaluated for other rows.
+    checked = rows.where("gap IS NULL OR gaps > 0").withColumn("page_id", F.when(lost, said.cast("long")).otherwise(F.col("page_id")))
+    return checked.drop("gap")
