@@ -1,36 +1,55 @@
 """From raw documents to a training mix, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it and rereads it as the
-next stage's docs. All but the last return the columns of documents. A null doc_id is a document of
-its own everywhere; an empty table passes through as an empty one.
+next stage's docs. All but the last return the columns of documents, further columns of any name
+included. A null doc_id is a document of its own everywhere; of rows that repeat a doc_id one stays; a
+null or empty text fails the quality rules; texts may have any length; an empty table passes through
+as an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, mixing, ngram_join, quality, secrets, textcols
 from quarry.llm.tables import written
 
 
+def _bare(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns as one, out of reach of the names that operators add."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("_rest"))
+
+
+def _dressed(bare: DataFrame, docs: DataFrame) -> DataFrame:
+    """bare's rows with the columns of docs."""
+    return bare.select(*(c if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
     rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return textcols.where_computed(quality.judged(docs, rules), F.col("kept")).select(*docs.columns)
+    return _dressed(textcols.where_computed(quality.judged(_bare(docs), rules), F.col("kept")), docs)
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one of the smallest doc_id."""
-    first = ngram_join.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(first, docs.doc_id == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id IS NULL"))
+    """Of each group of linked documents, the one of the smallest doc_id; of rows that repeat it, the first by text
+    and the other columns. Rows without doc_id are judged by text alone: they stay, since no row can stand for them."""
+    first = ngram_join.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first_id")).distinct()
+    bare = _bare(docs)
+    named = bare.join(first, bare.doc_id == F.col("_first_id"), "left_semi").withColumn(
+        "_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "_rest"))
+    )
+    return _dressed(named.where("_nth = 1").drop("_nth").union(bare.where("doc_id IS NULL")), docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark passages."""
+    """Documents that hold no whole benchmark window, however long they are, and of which less than a twentieth is
+    passages of items too short for one."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return textcols.where_computed(decontam.contamination(docs, items), ~F.col("contaminated")).select(*docs.columns)
+    clean = ~(F.col("holds_window") | F.col("contaminated"))
+    return _dressed(textcols.where_computed(decontam.contamination(_bare(docs), items), clean), docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
