@@ -57,7 +57,8 @@ def candidates(chunks: DataFrame, queries: DataFrame, options: Options = Options
 def boosted(hits: DataFrame) -> DataFrame:
     """hits(score, act, section, doc_type, act_hint, sections) with statute hints added to score."""
     add = score.statute_boost(F.col("act"), F.col("section"), F.col("doc_type"), F.col("act_hint"), F.col("sections"))
-    return hits.withColumn("score", F.col("score") + add)
+    # Rounded, so that equal sums of unequal order tie.
+    return hits.withColumn("score", F.round(F.col("score") + add, 9))
 
 
 def ranked(hits: DataFrame, by: str = "score", name: str = "rank") -> DataFrame:

@@ -57,8 +57,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, lowercase: bool = False, index:
         .agg(F.round(F.sum(part), 9).alias("score"))
         .where("score > 0")
     )
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    ranked = scores.withColumn("norm", F.col("score") / best).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    )
-    return ranked if top is None else ranked.where(F.col("rank") <= top)
+    # The first of the ranked hits has the best score, so a window group limit leaves `top` rows a task and question
+    # before anything is sorted together.
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    ranked = scores.withColumn("rank", F.row_number().over(by))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
+    best = F.first("score").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return ranked.withColumn("norm", F.col("score") / best).select("query_id", "doc_id", "score", "norm", "rank")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.tables import drop_path, exists
+
 SCHEMA_VERSION = 2
 
 
@@ -32,7 +36,10 @@ def replaced_ids(changes: DataFrame) -> DataFrame:
 
 
 def upserted(table: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """table with rows of new in place of those of the same key."""
+    """table with rows of new in place of those of the same key. Of rows of new that repeat a key one stays, the last
+    by its columns; a null key never replaces."""
+    last = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in table.columns if c != key)))
+    new = new.select(*table.columns).withColumn("_nth_of_key", last).where(f"_nth_of_key = 1 OR `{key}` IS NULL").drop("_nth_of_key")
     return table.join(new.select(key).distinct(), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
@@ -85,24 +92,70 @@ def write_partitioned(table: DataFrame, path: str, key: str, parts: int = 64) ->
 def overwrite_parts(spark: SparkSession, path: str, new: DataFrame, key: str, gone: DataFrame | None = None, parts: int = 64) -> None:
     """Replaces rows of new's keys (and drops gone's) in a table of write_partitioned(), part by part.
 
-    The changed parts are staged beside the table first: Spark can't overwrite what the same plan reads.
+    The changed parts are staged beside the table first, in a folder of this call's own: Spark can't overwrite what the
+    same plan reads. The staged parts stay until the overwrite is through, so after a lost driver they can be put in
+    place again; the overwrite itself replaces parts one after the other and is not atomic for readers.
     """
     old = spark.read.parquet(path)
     touched = new.select(key) if gone is None else new.select(key).union(gone.select(key))
     part = F.pmod(F.xxhash64(key), F.lit(parts))
     which = [r[0] for r in touched.select(part.alias("part")).distinct().collect()]
     rows = old.where(F.col("part").isin(which)).drop("part").join(touched.distinct(), key, "left_anti").select(*new.columns).unionByName(new)
-    staged = f"{path.rstrip('/')}-staged"
-    rows.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(staged)
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    rows.withColumn("part", part).write.partitionBy("part").parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    drop_path(spark, staged)
+
+
+def in_batches(files: DataFrame, most_files: int, most_bytes: int) -> DataFrame:
+    """files(rel, length) with `batch`: a batch ends when it has so many files or bytes, in the order of rel.
+
+    The flush policy of a sync: each batch is loaded and written on its own, so memory follows the batch. Only the
+    names and sizes of files to load meet in the one running sum.
+    """
+    run = Window.partitionBy().orderBy("rel").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.greatest(
+        F.floor(F.coalesce(F.count(F.lit(1)).over(run), F.lit(0)) / most_files), F.floor(F.coalesce(F.sum("length").over(run), F.lit(0)) / most_bytes)
+    )
+    return files.withColumn("batch", before.cast("long"))
 
 
-def sync(manifest: DataFrame, current: DataFrame, table: DataFrame, load, store_is_empty: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(changes, table, manifest) after load(rows of current to read) -> chunks like table, with rel."""
+def sync(
+    manifest: DataFrame, current: DataFrame, table: DataFrame, load, store_is_empty: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changes, table, manifest) after load(rows of current to read) -> chunks like table, with rel; or a pair of such
+    chunks and failed(rel). What failed keeps its old chunks and gets no entry, so the next sync takes it again."""
     changes = diff(manifest, current, store_is_empty)
-    chunks = load(current.join(changes.where(F.col("action").isin("new", "changed")).select("rel"), "rel", "left_semi"))
-    kept = deleted(table, replaced_ids(changes))
-    return changes, upserted(kept, chunks), advanced(manifest, changes, chunks)
+    got = load(current.join(changes.where(F.col("action").isin("new", "changed")).select("rel"), "rel", "left_semi"))
+    chunks, failed = got if isinstance(got, tuple) else (got, None)
+    gone = changes if failed is None else changes.join(failed.select("rel"), "rel", "left_anti")
+    if failed is not None:
+        chunks = chunks.join(failed.select("rel"), "rel", "left_anti")
+    kept = deleted(table, replaced_ids(gone))
+    return changes, upserted(kept, chunks), advanced(manifest, changes, chunks, failed)
+
+
+def saved(manifest: DataFrame, path: str) -> None:
+    """Writes the manifest as a new version under path; the newest whole version is what loaded() reads."""
+    spark = manifest.sparkSession
+    last = max((int(v) for v in _versions(spark, path)), default=0)
+    manifest.write.parquet(f"{path.rstrip('/')}/version={last + 1:010d}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Versions under path that were written to their end, oldest first."""
+    if not exists(spark, path):
+        return []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+    names = sorted(x.getPath().getName() for x in found)
+    return [n.removeprefix("version=") for n in names if n.startswith("version=") and exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS")]
+
+
+def loaded(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version that saved() wrote to its end; None if there is none."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/version={versions[-1]}") if versions else None
 
 
 def status(table: DataFrame, manifest: DataFrame) -> DataFrame:

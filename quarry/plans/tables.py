@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the session has none."""
+    """The folder of spark.checkpoint.dir. Only a local session without one gets a temporary folder: what executors of
+    a cluster write must be where the others can read it, so there the setting is required."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-"))
+        return context._jsc.sc().getCheckpointDir().get()
     return found
 
 
@@ -35,10 +38,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at path; a store that does not answer raises."""
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 @contextmanager

@@ -5,29 +5,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.plans import manifest
+from quarry.plans.tables import exists
 
 
-def upsert_stream(chunks: DataFrame, path: str, checkpoint: str, key: str = "doc_id", parts: int = 64) -> StreamingQuery:
-    """Writes a stream of chunks into a manifest.write_partitioned() table, the last row of a key winning.
+def upsert_stream(chunks: DataFrame, path: str, checkpoint: str, key: str = "doc_id", order: str | None = None, parts: int = 64) -> StreamingQuery:
+    """Writes a stream of chunks into a manifest.write_partitioned() table. Of a key's rows in one batch the one of
+    the greatest `order` column wins; rows that tie in it, or have none, go by all their columns, so reruns agree.
 
-    A batch overwrites whole parts, so a batch that runs twice after a lost executor leaves the same table.
+    A batch overwrites whole parts, so a batch that runs twice after a lost executor leaves the same table. A table
+    that is there but can't be read is an error: it is never taken for one that is yet to be made.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates([key])
+        first = [F.desc(c) for c in ([order] if order else [])] + [F.desc(c) for c in batch.columns if c != key]
+        one = F.row_number().over(Window.partitionBy(key).orderBy(*first))
+        rows = batch.withColumn("_nth_of_key", one).where("_nth_of_key = 1").drop("_nth_of_key")
         spark = batch.sparkSession
-        try:
-            spark.read.parquet(path)
-        except Exception:
+        if exists(spark, path):
+            manifest.overwrite_parts(spark, path, rows, key, parts=parts)
+        else:
             manifest.write_partitioned(rows, path, key, parts)
-            return
-        manifest.overwrite_parts(spark, path, rows, key, parts=parts)
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -266,3 +266,34 @@ def test_text_functions(spark):
     assert one(text.preprocess_query(F.lit("  What IS § 5(a)? "))) == "what is  5(a)"
     assert one(text.language_code(F.lit(" Hindi "))) == "hi" and one(text.language_code(F.lit("pt-BR"))) == "pt-br" and one(text.language_code(F.lit("tamil script"))) == "ta"
     assert one(text.clean_title(F.lit(" - Of  sale: "))) == "Of sale"
+
+
+def test_manifest_versions_failures_and_batches(spark, tmp_path):
+    path = f"file://{tmp_path}/manifest"
+    assert manifest.loaded(spark, path) is None
+    entry = "rel string, fingerprint string, doc_ids array<string>, schema_version int"
+    old = spark.createDataFrame([("a", "1", ["a:0"], 2), ("b", "1", ["b:0"], 2)], entry)
+    manifest.saved(old, path)
+    manifest.saved(old.where("rel = 'a'"), path)
+    (tmp_path / "manifest" / "version=0000000009").mkdir()
+    assert [r.rel for r in manifest.loaded(spark, path).collect()] == ["a"]
+    now = spark.createDataFrame([("a", "2"), ("b", "2"), ("c", "1")], "rel string, fingerprint string")
+    table = spark.createDataFrame([("a:0", "a", "x"), ("b:0", "b", "x")], "doc_id string, rel string, text string")
+    load = lambda rows: (rows.selectExpr("rel || ':1' AS doc_id", "rel", "'new' AS text"), spark.createDataFrame([("b",)], "rel string"))
+    _, rows, after = manifest.sync(old, now, table, load)
+    assert {(r.doc_id, r.text) for r in rows.collect()} == {("a:1", "new"), ("b:0", "x"), ("c:1", "new")}
+    assert {r.rel for r in after.collect()} == {"a", "c"}
+    new = spark.createDataFrame([("a:0", "a", "1"), ("a:0", "a", "2")], table.schema)
+    assert sorted(r.text for r in manifest.upserted(table, new).collect()) == ["2", "x"]
+    files = spark.createDataFrame([(f"f{i}", 10 if i != 2 else 100) for i in range(6)], "rel string, length long")
+    assert [r.batch for r in manifest.in_batches(files, 4, 100).orderBy("rel").collect()] == [0, 0, 0, 1, 1, 1]
+
+
+def test_two_writers_stage_apart(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = spark.createDataFrame([("a", "1"), ("b", "1")], "doc_id string, text string")
+    manifest.write_partitioned(rows, path, "doc_id", 2)
+    manifest.overwrite_parts(spark, path, rows.where("doc_id = 'a'").selectExpr("doc_id", "'2' AS text"), "doc_id", parts=2)
+    manifest.overwrite_parts(spark, path, rows.where("doc_id = 'b'").selectExpr("doc_id", "'3' AS text"), "doc_id", parts=2)
+    assert {(r.doc_id, r.text) for r in spark.read.parquet(path).collect()} == {("a", "2"), ("b", "3")}
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]

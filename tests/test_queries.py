@@ -2,7 +2,7 @@
 
 import pytest
 
-from quarry import queries
+from quarry import queries, queries_upkeep  # noqa: F401
 
 from .conftest import SF
 

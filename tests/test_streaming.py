@@ -40,3 +40,19 @@ def test_cache_stream(spark, tmp_path):
     got = sorted((r.answer, r.hit) for r in spark.table("cached").select("answer", F.col("hit")).collect())
     assert got == [("new", False), ("old", False), ("old", True)]
     assert manifest.SCHEMA_VERSION == 2
+
+
+def test_upserts_keep_the_last_row_and_never_replace_what_cannot_be_read(spark, tmp_path):
+    import pytest
+
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    schema = "doc_id string, text string, seq long"
+    spark.createDataFrame([("a", "z", 1), ("a", "b", 3), ("a", "c", 2)], schema).coalesce(1).write.json(f"{src}/0")
+    live.upsert_stream(live.file_stream(spark, src, schema), f"file://{out}", f"{tmp_path}/cp", order="seq", parts=2).awaitTermination()
+    assert [r.text for r in spark.read.parquet(f"file://{out}").collect()] == ["b"]
+    broken = tmp_path / "out2"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        live.upsert_stream(live.file_stream(spark, src, schema), f"file://{broken}", f"{tmp_path}/cp2", order="seq", parts=2).awaitTermination()
+    assert (broken / "part-0.parquet").read_bytes() == b"not parquet"
