@@ -7,18 +7,24 @@ Several orders are applied one after the other, and a pair must pass all of them
 1. By hash. The l-extended prefix of every document is dealt out by token; a document of which fewer
    than l prefix tokens occur elsewhere has no partner and leaves.
 2. Rarest first, counted among those left. Tokens found nowhere else come first, so texts that only
-   share passages leave, and common passages never form groups of candidates.
-3. By hash from the top, checked with the first order on each candidate before its exact comparison.
+   share passages leave. With its place in this order a token tells the sizes that a partner may have:
+   two sets of n and m need an overlap of ceil(0.75 (n + m) / 1.75), and share a token among the first
+   n - overlap + 1 of one and m - overlap + 1 of the other. So texts that share less than that, however
+   much of them is a common passage, never form groups of candidates.
+3. By hash from the top, checked with the first order on each candidate before its exact comparison,
+   in pairs and in blocks alike.
 
 Documents with equal sets are one class from the start. Links are verified from each class to one
 leader of a token group, in rounds; classes that a chain of links already joins need no further
 comparison, and what is then left across components is compared in full: small groups as pairs,
-large ones in blocks against blocks. No link between different components is missed, and no group is
-ever expanded into all pairs.
+large ones in blocks of bounded size against blocks of texts of fitting length. No link between different components is missed, and no group is
+ever expanded into all pairs. Tokens of large groups are dealt out in several ways, so no task gets a
+group whole.
 
 Edge cases: a null or blank text has no set, links with nothing and is its own component; fewer than
-five words are one shingle; repeated rows and repeated doc_ids are one node; a null doc_id gets a
-null component; an empty table gives no rows; other columns are ignored; texts may have any length.
+five words are one shingle; repeated rows and repeated doc_ids are one node; ties in rarity go by the
+token, and a component is named by its smallest doc_id; a null doc_id gets the component of equal
+texts, or null; an empty table gives no rows; other columns are ignored; texts may have any length.
 Tokens are 64-bit hashes of the words; sets are told apart by a 64-bit hash and their size.
 """
 
@@ -39,8 +45,10 @@ WORDS, SIMILARITY = 5, 75
 BROADCAST_ROWS = 1_000_000
 #: Rounds of comparing with one leader before what is left is compared in full.
 LEADER_ROUNDS = 3
-#: Group size from which the full comparison works in blocks, and their sizes.
-BLOCKED_FROM, BLOCK, QUERY_BLOCK = 48, 128, 32
+#: Group size from which the full comparison works in blocks, and the tokens of a block, about.
+BLOCKED_FROM, BLOCK_TOKENS = 48, 1 << 15
+#: Rows of a token that are dealt out as one, and tokens with more up to which their table is broadcast.
+HOT_ROWS, BROADCAST_HOT = 256, 500_000
 #: Pairs or blocks, each with its token arrays, that a Python worker gets at once.
 ROWS_AT_ONCE = 128
 #: Tokens that a task combines before it deals them out.
@@ -53,6 +61,11 @@ def _need(n, percent: int):
     return (n * percent + 99) // 100
 
 
+def _overlap(n, m, percent: int):
+    """The smallest overlap of two sets of n and m that are similar enough."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
 def _extra(n):
     """l of the extended prefix: tokens of it that must occur elsewhere."""
     return 1 + n // 12
@@ -287,9 +300,12 @@ def rare_prefixes(docs: DataFrame, survivors: DataFrame, size: int, percent: int
 
 def _similar(na: int, a: np.ndarray, nb: int, b: np.ndarray, percent: int) -> bool:
     """The exact test, after the orders that a candidate was not found by."""
+    least = _overlap(na, nb, percent)
+    if min(len(a), len(b)) < least:
+        return False
     for order in (slice(None), slice(None, None, -1)):
-        pa_, pb = na - _need(na, percent) + 1 - (na - len(a)), nb - _need(nb, percent) + 1 - (nb - len(b))
-        if not np.isin(a[order][:pa_], b[order][:pb]).any():
+        # Tokens found nowhere else count as the first of any order.
+        if not np.isin(a[order][: len(a) - least + 1], b[order][: len(b) - least + 1]).any():
             return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (na + nb - both)
@@ -312,17 +328,71 @@ def verified(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _blocked(mixed: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+class _Block:
+    """Sets of a block: their tokens, flat, and the parts that may hold the first shared one by hash from either end."""
+
+    def __init__(self, rows: list[dict], percent: int) -> None:
+        arrays = [np.frombuffer(r["tokens"], U) for r in rows]
+        self.c = np.array([r["c"] for r in rows])
+        self.n, self.pos = np.array([r["n"] for r in rows]), np.array([r["pos"] for r in rows])
+        self.size = np.array([len(v) for v in arrays])
+        self.offset = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.vocab, self.at = np.unique(np.concatenate(arrays), return_inverse=True)
+        head = np.clip(self.size - _need(self.n, percent) + 1, 1, self.size)
+        self.first = np.concatenate([[0], np.cumsum(head)[:-1]])
+        step = np.arange(head.sum()) - np.repeat(self.first, head)
+        self.low = self.at[np.repeat(self.offset, head) + step]
+        self.high = self.at[np.repeat(self.offset + self.size - 1, head) - step]
+
+    def similar(self, q: dict, percent: int) -> np.ndarray:
+        """The components of the block's sets that are similar to q and of another component."""
+        own = np.frombuffer(q["tokens"], U)
+        least = _overlap(self.n, q["n"], percent)
+        fits = (self.c != q["c"]) & (self.pos <= self.n - least) & (q["pos"] <= q["n"] - least) & (np.minimum(self.size, len(own)) >= least)
+        if not fits.any():
+            return self.c[:0]
+        spot = np.minimum(np.searchsorted(self.vocab, own), len(self.vocab) - 1)
+        known = self.vocab[spot] == own
+        head = max(1, len(own) - _need(q["n"], percent) + 1)
+        for part, there in ((self.low, slice(None, head)), (self.high, slice(-head, None))):
+            mark = np.zeros(len(self.vocab), bool)
+            mark[spot[there][known[there]]] = True
+            fits &= np.logical_or.reduceat(mark[part], self.first)
+        chosen = np.flatnonzero(fits)
+        if not len(chosen):
+            return self.c[:0]
+        mark = np.zeros(len(self.vocab), np.int32)
+        mark[spot[known]] = 1
+        size = self.size[chosen]
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        flat = np.repeat(self.offset[chosen] - begin, size) + np.arange(size.sum())
+        both = np.add.reduceat(mark[self.at[flat]], begin)
+        return self.c[chosen[100 * both >= percent * (self.n[chosen] + q["n"] - both)]]
+
+
+def _blocked(mixed: DataFrame, kept: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     """Links between components, as (a, b) of their names, in large groups: blocks of classes outside a
-    group's largest component against blocks of all its classes."""
-    sizes = mixed.groupBy("t", "c").agg(F.count(F.lit(1)).alias("_k"))
-    main = sizes.groupBy("t").agg(
-        F.max_by("c", F.struct("_k", "c")).alias("_main"), F.sum("_k").alias("_all"), (F.sum("_k") - F.max("_k")).alias("_asks")
+    group's largest component against blocks of its classes of fitting size."""
+    base = 100.5 / percent
+    rows = mixed.withColumn("band", F.floor(F.log("n") / F.log(F.lit(base))).cast("int"))
+    main = rows.groupBy("t", "c").agg(F.count(F.lit(1)).alias("_k")).groupBy("t").agg(F.max_by("c", F.struct("_k", "c")).alias("_main"))
+    rows = rows.join(_spread(main, hot), ["t", "z"])
+    parts = lambda w: F.ceil(F.coalesce(F.sum(w), F.lit(0)) / BLOCK_TOKENS).cast("int")
+    count = written(
+        rows.groupBy("t", "band").agg(parts(F.col("n")).alias("_every"), parts(F.when(F.col("c") != F.col("_main"), F.col("n"))).alias("_asks")), "block-counts"
     )
-    rows = mixed.join(main, "t").join(kept.select("rep", "tokens"), "rep")
-    body = F.collect_list(F.struct("rep", "c", "n", "tokens"))
-    every = rows.groupBy("t", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_all") / BLOCK)).alias("_blk")).agg(body.alias("x"))
-    asks = rows.where("c <> _main").groupBy("t", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_asks") / QUERY_BLOCK)).alias("_q")).agg(body.alias("y"))
+    rows = rows.join(_spread(count, hot), ["t", "band", "z"]).join(kept.select("rep", "tokens"), "rep")
+    body = F.collect_list(F.struct("rep", "c", "n", "pos", "tokens"))
+    block = lambda of: F.pmod(F.xxhash64("rep"), F.greatest(F.col(of), F.lit(1))).cast("int")
+    every = rows.groupBy("t", F.col("band").alias("_band"), block("_every").alias("_blk")).agg(body.alias("x"))
+    asks = rows.where("c <> _main").groupBy("t", "band", block("_asks").alias("_q")).agg(body.alias("y"))
+    # Sets of fitting size lie in the same or in neighbouring bands.
+    numbers = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    near = F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1))))
+    pairs = (
+        count.where("_asks > 0").select("t", "band", numbers("_asks").alias("_q")).withColumn("_band", near)
+        .join(count.select("t", F.col("band").alias("_band"), numbers("_every").alias("_blk")), ["t", "_band"])
+    )
 
     def run(batches):
         top: dict[int, int] = {}
@@ -337,32 +407,23 @@ def _blocked(mixed: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
             out = []
             for row in range(batch.num_rows):
                 x, y = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                arrays = [np.frombuffer(r["tokens"], U) for r in x]
-                lengths = np.array([len(v) for v in arrays])
-                offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                vocab, at = np.unique(np.concatenate(arrays), return_inverse=True)
-                n = np.array([r["n"] for r in x])
+                block = _Block(x, percent)
                 for q in y:
-                    mark = np.zeros(len(vocab), np.int32)
-                    own = np.frombuffer(q["tokens"], U)
-                    spot = np.minimum(np.searchsorted(vocab, own), len(vocab) - 1)
-                    mark[spot[vocab[spot] == own]] = 1
-                    both = np.add.reduceat(mark[at], offsets)
                     # Of the links found, those that join what this task has not joined yet say it all.
-                    for k in np.flatnonzero(100 * both >= percent * (n + q["n"] - both)):
-                        a, b = root(q["c"]), root(x[k]["c"])
+                    for c in np.unique(block.similar(q, percent)).tolist():
+                        a, b = root(q["c"]), root(c)
                         if a != b:
                             top[max(a, b)] = min(a, b)
-                            out.append((q["c"], x[k]["c"]))
+                            out.append((q["c"], c))
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return asks.join(every, "t").select("x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(asks, ["t", "band", "_q"]).join(every, ["t", "_band", "_blk"]).select("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """posts(t, rep, n) with c, the component so far."""
+    """posts(t, z, rep, n, ..) with c, the component so far."""
     if labels is None:
         return posts.withColumn("c", F.col("rep"))
     own = labels.select(F.col("node").alias("rep"), F.col("component").alias("c"))
@@ -370,23 +431,48 @@ def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _fits(percent: int):
-    """Sizes of two sets that can be similar enough."""
-    return 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    """Whether two sets, of n and n2 with the token at pos and pos2, may be similar enough and have it in both prefixes."""
+    least = F.expr(f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}")
+    return (F.col("pos") <= F.col("n") - least) & (F.col("pos2") <= F.col("n2") - least)
+
+
+def _postings(kept: DataFrame, percent: int) -> DataFrame:
+    """(t, rep, n, pos, lo, hi): prefix tokens with their place in the rarest-first order and the sizes of partners."""
+    live = (F.octet_length("tokens") / 8).cast("long")
+    rows = kept.select("rep", "n", (F.col("n") - live).alias("_dead"), F.posexplode("prefix").alias("_j", "t"))
+    rows = rows.select("t", "rep", "n", (F.col("_dead") + F.col("_j")).alias("pos"))
+    lo, most = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({100 + percent} * (n - pos)) div {percent} - n")
+    return rows.withColumn("lo", lo).withColumn("hi", F.least(most, F.expr(f"(100 * n) div {percent}"))).where("hi >= lo")
+
+
+def _spread(by_token: DataFrame, hot: DataFrame) -> DataFrame:
+    """by_token(t, ..) once for each way z in which the token's rows are dealt out."""
+    ways = F.sequence(F.lit(0), F.coalesce(F.col("ways"), F.lit(1)) - 1)
+    return by_token.join(hot, "t", "left").withColumn("z", F.explode(ways)).drop("ways")
 
 
 def class_links(kept: DataFrame, percent: int) -> DataFrame:
     """(node, component) of classes with a link; every link across components was looked for."""
-    posts = written(kept.select(F.explode("prefix").alias("t"), "rep", "n"), "prefixes")
+    posts = written(_postings(kept, percent), "prefixes")
+    hot = written(
+        posts.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / HOT_ROWS).cast("int").alias("ways")).where("ways > 1"), "hot-tokens"
+    )
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
+    way = F.pmod(F.xxhash64("rep"), F.coalesce(F.col("ways"), F.lit(1))).cast("int")
+    posts = posts.join(hot, "t", "left").withColumn("z", way).drop("ways")
     links, labels = None, None
     for k in range(LEADER_ROUNDS):
         at = _labelled(posts, labels)
         lead = at.groupBy("t").agg(
-            F.min_by(F.struct(F.col("rep").alias("a"), F.col("c").alias("c2"), F.col("n").alias("n2")), F.xxhash64("rep", F.lit(k))).alias("_l"),
+            F.min_by(
+                F.struct(F.col("rep").alias("a"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2")),
+                F.xxhash64("rep", F.lit(k)),
+            ).alias("_l"),
             F.min("c").alias("_c0"),
             F.max("c").alias("_c1"),
         ).where("_c0 <> _c1").select("t", "_l.*")
         pairs = (
-            at.join(lead, "t")
+            at.join(_spread(lead, hot), ["t", "z"])
             .where((F.col("c") != F.col("c2")) & _fits(percent))
             .groupBy(F.col("rep").alias("b"), "a")
             .agg(F.count(F.lit(1)).alias("_k"))
@@ -397,12 +483,18 @@ def class_links(kept: DataFrame, percent: int) -> DataFrame:
         links = written(found if links is None else links.union(found), "found-links")
         labels = components(links)
     at = written(_labelled(posts, labels), "prefixes-labelled")
-    groups = at.groupBy("t").agg(F.min("c").alias("_c0"), F.max("c").alias("_c1"), F.count(F.lit(1)).alias("_size")).where("_c0 <> _c1")
-    mixed = written(at.join(groups.select("t", "_size"), "t"), "mixed")
+    groups = at.groupBy("t").agg(
+        F.min("c").alias("_c0"), F.max("c").alias("_c1"), F.count(F.lit(1)).alias("_size"), F.min("n").alias("_n0"), F.max("n").alias("_n1")
+    ).where("_c0 <> _c1").select("t", "_size", "_n0", "_n1")
+    # A class stays in a group only if the group has sizes that its partners may have.
+    mixed = written(at.join(_spread(groups, hot), ["t", "z"]).where("lo <= _n1 AND hi >= _n0").select("t", "z", "rep", "n", "pos", "c", "_size"), "mixed")
     small = mixed.where(F.col("_size") <= BLOCKED_FROM)
-    other = small.select("t", F.col("rep").alias("a"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    other = small.select("t", F.col("rep").alias("a"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"))
     pairs = small.join(other, "t").where((F.col("rep") < F.col("a")) & (F.col("c") != F.col("c2")) & _fits(percent)).select(F.col("rep").alias("b"), "a").distinct()
-    rest = verified(pairs, kept, percent).union(_blocked(mixed.where(F.col("_size") > BLOCKED_FROM), kept, percent))
+    rest = verified(pairs, kept, percent)
+    large = mixed.where(F.col("_size") > BLOCKED_FROM)
+    if not large.isEmpty():
+        rest = rest.union(_blocked(large, kept, hot, percent))
     last = written(rest, "last-links")
     return labels if last.isEmpty() else components(links.union(last))
 

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import ngram_join, wordhash
 
@@ -43,8 +44,8 @@ def test_matches_all_pairs(spark):
 def test_borderline_chain_in_a_large_group(spark, monkeypatch):
     """Near copies that link only through each other, some groups compared in blocks."""
     monkeypatch.setattr(ngram_join, "BLOCKED_FROM", 6)
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 5)
     monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 1)
     r = random.Random(3)
     base = [f"w{i}" for i in range(100)]
@@ -59,6 +60,36 @@ def test_borderline_chain_in_a_large_group(spark, monkeypatch):
     assert 1 < len({c for _, c in found.values()}) < 60
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_groups_of_many_sizes_in_blocks(spark, monkeypatch, rounds):
+    """Texts of many lengths around shared passages: similarity on both sides of the bound, in blocks and bands."""
+    monkeypatch.setattr(ngram_join, "BLOCKED_FROM", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "BROADCAST_HOT", 0)
+    monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", rounds)
+    r = random.Random(rounds)
+    rows = []
+    for i in range(150):
+        body = [f"p{i % 3}w{k}" for k in range(r.randint(20, 60))]
+        rows.append((i, " ".join(body + [f"x{r.randrange(40)}" for _ in range(r.randint(0, 14))]), None, None, 0))
+    found = got(frame(spark, rows))
+    assert found == expected(rows)
+    assert 3 < len({c for _, c in found.values()}) < 140
+
+
+def test_a_common_passage_below_the_bound_forms_no_group(spark):
+    """Texts that share 36 of 44 shingles, 0.69: in the rarest-first order none has a partner of its size."""
+    texts = [" ".join([f"c{k}" for k in range(40)] + [f"u{i}x{k}" for k in range(8)]) for i in range(400)]
+    docs = frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    found = got(docs)
+    assert {n for n, _ in found.values()} == {44} and len({c for _, c in found.values()}) == 400
+    classes = ngram_join.sets(docs).select("sig", "n", F.col("doc_id").alias("rep"))
+    kept = ngram_join.rare_prefixes(docs, classes, 5, 75)
+    posts = ngram_join._postings(kept, 75)
+    assert posts.count() > 0 and posts.where("hi >= 44").count() == 0
+
+
 def test_joins_by_shuffle_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     rows = awkward(seed=9)
