@@ -506,15 +506,23 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = SIMILARITY) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = written(sets(docs, size), "sets")
-    classes = own.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
+    counted = written(own.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows")), "classes")
+    classes = counted.drop("_rows")
     survivors = written(prefix_survivors(docs, classes, size, percent), "survivors")
     kept = written(rare_prefixes(docs, survivors, size, percent), "rare-prefixes")
     with arrow_rows(docs.sparkSession, ROWS_AT_ONCE):
         labels = class_links(kept, percent)
-    named = classes.where("n > 0").join(labels, F.col("rep") == F.col("node"), "left").select(
-        F.col("sig").alias("_sig"), F.col("n").alias("_n"), "rep", F.coalesce("component", "rep").alias("component")
-    )
-    return own.join(named, (F.col("sig") == F.col("_sig")) & (F.col("n") == F.col("_n")), "left").select(
+    # Rows of a set that many documents have are dealt out in several ways, and its name once for each.
+    ways = counted.where(F.col("_rows") > HOT_ROWS).select("sig", "n", F.ceil(F.col("_rows") / HOT_ROWS).cast("int").alias("ways"))
+    ways = F.broadcast(ways) if ways.count() <= BROADCAST_HOT else ways
+    several = F.coalesce(F.col("ways"), F.lit(1))
+    named = (
+        classes.where("n > 0").join(labels, F.col("rep") == F.col("node"), "left")
+        .join(ways, ["sig", "n"], "left")
+        .select("sig", "n", F.explode(F.sequence(F.lit(0), several - 1)).alias("_way"), "rep", F.coalesce("component", "rep").alias("component"))
+    )
+    dealt = own.join(ways, ["sig", "n"], "left").withColumn("_way", F.pmod(F.xxhash64("doc_id"), several).cast("int"))
+    return dealt.join(named, ["sig", "n", "_way"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("rep", "doc_id").alias("class_id"),
