@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 
 import numpy as np
@@ -34,8 +33,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 5_000, 8 << 20
 LENGTHS = (4, 3, 2, 1)
 #: -log10 of the frequency that an absent entry counts as.
 PENALTY = 7.0
-#: Runs of letters. What isalnum() takes beside letters and digits (fractions, superscripts, numerals) is left out.
-LETTERS = re.compile(r"[^\W\d_" + "".join(re.escape(c) for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()) + "]+")
+#: Runs of letters, and of what isalnum() takes beside letters and digits (fractions, superscripts, numerals).
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a worker keeps.
 KEPT_WORDS = 100_000
 
@@ -87,7 +86,12 @@ class Model:
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(LETTERS.findall(text.lower())) if text else None
+        found = Counter(LETTERS.findall(text.lower())) if text else Counter()
+        for word in [w for w in found if not w.isalpha()]:
+            # Fractions and the like part words.
+            times_found = found.pop(word)
+            for part in "".join(c if c.isalpha() else " " for c in word).split():
+                found[part] += times_found
         if not found or not self.langs:
             return "und", 0.0
         index = self.words.index
