@@ -40,17 +40,10 @@ KEPT_WORDS = 100_000
 
 
 class Table:
-    """What each entry saves of the penalty in the languages that have it: rows of a sparse matrix."""
+    """Entries and their rows in a sparse matrix: what each saves of the penalty in the languages that have it."""
 
-    def __init__(self, index: dict[str, int], first: np.ndarray, lang: np.ndarray, saved: np.ndarray, width: int) -> None:
-        self.index, self.first, self.lang, self.saved, self.width = index, first, lang, saved, width
-
-    def cost(self, rows: list[int], times: np.ndarray) -> np.ndarray:
-        """The summed cost, in each language, of rows that occur so many times."""
-        rows = np.asarray(rows)
-        begin, size = self.first[rows], self.first[rows + 1] - self.first[rows]
-        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-        return PENALTY * times.sum() - np.bincount(self.lang[at], np.repeat(times, size) * self.saved[at], minlength=self.width)
+    def __init__(self, index: dict[str, int], first: np.ndarray, lang: np.ndarray, saved: np.ndarray) -> None:
+        self.index, self.first, self.lang, self.saved = index, first, lang, saved
 
 
 def _table(rows: DataFrame, key: str, langs: list[str]) -> Table:
@@ -66,24 +59,44 @@ def _table(rows: DataFrame, key: str, langs: list[str]) -> Table:
         if name not in index:
             index[name] = len(index)
             first.append(i)
-    return Table(index, np.array([*first, len(names)], np.int64), lang, saved, len(langs))
+    return Table(index, np.array([*first, len(names)], np.int64), lang, saved)
 
 
 class Model:
-    """langs, and tables for words and for each n-gram length."""
+    """langs, and tables for words and for each n-gram length, whose matrices are stacked so that one sum scores a text."""
 
     def __init__(self, langs: list[str], words: Table, grams: dict[int, Table]) -> None:
         self.langs, self.words, self.grams, self._unseen = langs, words, grams, {}
-
-    def unseen(self, word: str) -> np.ndarray | None:
-        """Costs of a word that training did not see."""
-        padded = f" {word} "
-        for n in LENGTHS:
-            table = self.grams[n]
-            rows = [table.index[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in table.index]
-            if rows:
-                return table.cost(rows, np.ones(len(rows))) / len(rows)
-        return None
+        tables = [words, *(grams[n] for n in LENGTHS)]
+        starts = np.cumsum([0, *(len(t.index) for t in tables)])
+        sizes = np.concatenate([np.diff(t.first) for t in tables])
+        self._first = np.concatenate([[0], np.cumsum(sizes)])
+        self._lang = np.concatenate([t.lang for t in tables])
+        self._saved = np.concatenate([t.saved for t in tables])
+        #: By n-gram length: its entries and the stacked row of the first; words keep their own rows.
+        self._levels = [(n, grams[n].index, int(start)) for n, start in zip(LENGTHS, starts[1:])]
+
+    def unseen(self, word: str) -> list[int]:
+        """Rows of the n-grams that stand for a word that training did not see."""
+        rows = self._unseen.get(word)
+        if rows is None:
+            padded = f" {word} "
+            for n, index, start in self._levels:
+                rows = [start + index[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in index]
+                if rows:
+                    break
+            if len(self._unseen) >= KEPT_WORDS:
+                self._unseen.clear()
+            self._unseen[word] = rows
+        return rows
+
+    def cost(self, rows: list[int], weights: list[float]) -> np.ndarray:
+        """The summed cost, in each language, of rows with such weights."""
+        rows, weights = np.array(rows), np.array(weights, float)
+        begin = self._first[rows]
+        size = self._first[rows + 1] - begin
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        return PENALTY * weights.sum() - np.bincount(self._lang[at], np.repeat(weights, size) * self._saved[at], minlength=len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(LETTERS.findall(text.lower())) if text else Counter()
@@ -95,27 +108,20 @@ class Model:
         if not found or not self.langs:
             return "und", 0.0
         index = self.words.index
-        rows, times, total, n = [], [], np.zeros(len(self.langs)), 0
+        rows, weights, n = [], [], 0
         for word, k in found.items():
             row = index.get(word)
             if row is not None:
                 rows.append(row)
-                times.append(k)
-                continue
-            if word not in self._unseen:
-                if len(self._unseen) >= KEPT_WORDS:
-                    self._unseen.clear()
-                self._unseen[word] = self.unseen(word)
-            cost = self._unseen[word]
-            if cost is not None:
-                total += k * cost
+                weights.append(k)
+                n += k
+            elif stand_in := self.unseen(word):
+                rows += stand_in
+                weights += [k / len(stand_in)] * len(stand_in)
                 n += k
-        if rows:
-            total += self.words.cost(rows, np.array(times))
-            n += sum(times)
         if not n:
             return self.langs[0], 1.0 / len(self.langs)
-        mean = total / n
+        mean = self.cost(rows, weights) / n
         best = int(mean.argmin())
         weight = np.exp(-(mean - mean[best]) * math.log(10))
         return self.langs[best], float(1.0 / weight.sum())
