@@ -139,7 +139,8 @@ def page_chunks(pages: DataFrame, splitter: str = "section", shortest: int = 50,
         out = [p.strip() for p in [*out, carried] if len(p.strip()) >= shortest]
         if sum(map(len, out)) < least_total:
             out = []
-        return pd.DataFrame({"doc": [rows["doc"].iloc[0]] * len(out), "chunk": range(len(out)), "text": out})
+        # Typed, as columns without rows would else be numbers, which do not become strings.
+        return pd.DataFrame({"doc": [rows["doc"].iloc[0]] * len(out), "chunk": range(len(out)), "text": out}).astype({"doc": object, "text": object})
 
     return pages.select("doc", "page", "text").groupBy("doc").applyInPandas(walk, f"doc {kind}, chunk long, text string")
 

@@ -135,6 +135,13 @@ def test_greedy_query_compares_all_documents_of_a_source(spark, tmp_path):
     assert got == {("s0", 0), ("s1", 1), ("s2", 2), ("s0", 30), ("s1", 31), ("s2", 32)}
 
 
+def test_page_chunks_of_a_document_without_chunks(spark):
+    rows = [("none", 1, None), ("short", 1, "too short"), ("long", 1, "word " * 100), ("long", 2, "more " * 100)]
+    got = segment.page_chunks(spark.createDataFrame(rows, "doc string, page long, text string")).collect()
+    assert {r.doc for r in got} == {"long"} and "".join(r.text for r in got).replace("\n", " ").split() == ["word"] * 100 + ["more"] * 100
+    assert segment.page_chunks(spark.createDataFrame([(7, 1, "")], "doc int, page long, text string")).collect() == []
+
+
 def test_splitting():
     marks = ["\n\n", "\n", ". ", " "]
     r = random.Random(0)
