@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,9 +34,17 @@ def is_overview(question: Column) -> Column:
     return contains_any(F.lower(question), dims.OVERVIEW_CUES)
 
 
+def _with(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), for which value is computed once however often it occurs in the result."""
+    return F.transform(F.array(value), make)[0]
+
+
 def tags(question: Column) -> Column:
     """array<string> of tags, in declaration order; cues count as substrings."""
-    q = F.lower(F.coalesce(question, F.lit("")))
+    return _with(F.lower(F.coalesce(question, F.lit(""))), _tags_of)
+
+
+def _tags_of(q: Column) -> Column:
     out = []
     for tag, cues in dims.TAG_CUES.items():
         hit = contains_any(q, cues)
@@ -60,13 +70,23 @@ def sources_of(found: Column) -> Column:
 
 def variants(question: Column, found: Column, most: int = 6) -> Column:
     """array<string>: the question, then what stands for its tags, then synonyms put in and by themselves."""
-    q = F.lower(F.trim(F.coalesce(question, F.lit(""))))
-    parts = [q, *(F.when(F.array_contains(found, tag), F.lit(text)) for tag, text in dims.TAG_ANCHORS)]
-    for term, others in dims.SYNONYMS.items():
-        for other in others:
-            parts += [F.when(q.contains(term), F.replace(q, F.lit(term), F.lit(other))), F.when(q.contains(term), F.lit(other))]
-    every = F.filter(F.array_compact(F.array(*parts)), lambda v: F.trim(v) != "")
-    return F.when(q == "", F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(F.transform(every, lambda v: F.trim(v))), 1, most))
+    none = F.array().cast("array<string>")
+
+    def parts(x: Column) -> Column:
+        q, out = x["q"], [F.array(x["q"])]
+        out += [F.when(F.array_contains(x["found"], tag), F.array(*map(F.lit, texts))).otherwise(none) for tag, texts in _grouped(dims.TAG_ANCHORS)]
+        for term, others in dims.SYNONYMS.items():
+            by_term = F.array(*(v for o in others for v in (F.replace(q, F.lit(term), F.lit(o)), F.lit(o))))
+            out.append(F.when(q.contains(term), by_term).otherwise(none))
+        every = F.filter(F.transform(F.flatten(F.array(*out)), lambda v: F.trim(v)), lambda v: v != "")
+        return F.when(q == "", none).otherwise(F.slice(F.array_distinct(every), 1, most))
+
+    return _with(F.struct(F.lower(F.trim(F.coalesce(question, F.lit("")))).alias("q"), found.alias("found")), parts)
+
+
+def _grouped(rows: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """(tag, texts) of neighbouring rows with the same tag."""
+    return [(tag, [text for _, text in some]) for tag, some in groupby(rows, key=lambda r: r[0])]
 
 
 def breadth(overview: Column, clause: Column, found: Column) -> Column:

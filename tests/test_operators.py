@@ -304,3 +304,16 @@ def test_two_writers_stage_apart(spark, tmp_path):
     manifest.overwrite_parts(spark, path, rows.where("doc_id = 'b'").selectExpr("doc_id", "'3' AS text"), "doc_id", parts=2)
     assert {(r.doc_id, r.text) for r in spark.read.parquet(path).collect()} == {("a", "2"), ("b", "3")}
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_variants_and_tags_compute_their_question_once(spark):
+    rows = spark.createDataFrame([(" Can they RECOVER training cost? Section 7 ",), (None,), ("",)], "text string")
+    out = rows.select(questions.variants(F.col("text"), questions.tags(F.col("text"))).alias("v"))
+    assert out._jdf.queryExecution().analyzed().toString().count("lower(") == 2
+    assert [r.v for r in out.collect()] == [
+        [
+            "can they recover training cost? section 7", "section 74 penalty stipulated compensation breach contract indian contract act 1872",
+            "section 73 compensation for breach of contract indian contract act 1872", "can they recover training cost? article 7", "article",
+            "can they recover training cost? provision 7",
+        ], [], [],
+    ]
