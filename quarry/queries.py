@@ -298,7 +298,7 @@ def exact_dedup(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 2000)), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS s
+    """WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS s
       FROM documents), w AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM t WHERE len(s) > 0),
     c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS n2, count(*) AS k FROM w a JOIN w b USING (token)
           WHERE a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY ALL)

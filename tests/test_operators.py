@@ -128,6 +128,29 @@ def test_near_duplicates(spark):
     assert sorted(x.doc_id for x in two.collect()) == kept + [i + 1000 for i in kept]
 
 
+def test_near_duplicates_read_whole_texts(spark):
+    same, words = "same words " * 300, [f"tail{i}" for i in range(400)]
+    rows = [(1, same + " ".join(words)), (2, same + " ".join(w + "x" for w in words)), (3, same + " ".join(words[:-40])), (4, same)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert [(r.a, r.b) for r in dedup.near_pairs(df).collect()] == [(1, 3)]
+    assert sorted(r.doc_id for r in dedup.near_first(df, F.lit(None)).collect()) == [1, 2, 4]
+
+
+def test_near_pairs_at_the_bound(spark):
+    """Pairs of all sizes with exactly as many differences as allowed, and one more."""
+    rows, want = [], set()
+    for n in [*range(1, 60), 120, 340, 1000]:
+        words = [f"n{n}w{i}" for i in range(n)]
+        less = n - int(n * 0.15 + 1e-9)
+        for k, m in enumerate((n, less, less - 1)):
+            if m > 0:
+                rows.append((10 * n + k, " ".join(words[:m])))
+        sets = {10 * n + k: m for k, m in enumerate((n, less, less - 1)) if m > 0}
+        want |= {(a, b) for a in sets for b in sets if a < b and min(sets[a], sets[b]) / max(sets[a], sets[b]) >= 0.85}
+    got = dedup.near_pairs(spark.createDataFrame([(i, t.replace(" ", "abc ") + "abc") for i, t in rows], "doc_id int, text string"))
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 60
+
+
 def test_greedy_query_compares_all_documents_of_a_source(spark, tmp_path):
     rows = [(i, f"alpha beta gamma delta {'' if i < 30 else 'other words here now'}", f"s{i % 3}") for i in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
