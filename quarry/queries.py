@@ -310,7 +310,7 @@ def near_dup_pairs(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE t AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 2000)), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS s
+    """WITH RECURSIVE t AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS s
       FROM documents), w AS (SELECT doc_id, source, len(s) AS n, unnest(s) AS token FROM t WHERE len(s) > 0),
     c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS n2, count(*) AS k FROM w a JOIN w b ON a.token = b.token AND a.source IS NOT DISTINCT FROM b.source
           WHERE a.doc_id < b.doc_id GROUP BY ALL),
