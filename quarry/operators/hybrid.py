@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quarry.functions import score
 from quarry.functions.text import alnum_tokens
 from quarry.operators import graph, lexical, rerank, vector
+from quarry.plans.tables import written
+
+#: Hits up to which their ids are named in the filter of a scan, and up to which they are broadcast.
+LISTED_HITS, BROADCAST_HITS = 2_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -50,10 +54,21 @@ def candidates(chunks: DataFrame, queries: DataFrame, options: Options = Options
     )
     words = lexical.bm25(chunks, queries, options.lowercase, top=max(options.fetch_k, options.k, 20))
     if options.exclude_self:
-        words = words.where(F.col("query_id") != F.col("doc_id"))
+        words = words.where(F.col("query_id").cast("string") != F.col("doc_id").cast("string"))
     return fused(near, words, options)
 
 
+def rows_of(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of chunks that a written table of hits names, without a shuffle of chunks as long as hits are few.
+
+    Unlike a join, a filter is applied before vectors are computed.
+    """
+    ids, n = hits.select("doc_id").distinct(), hits.count()
+    if n <= LISTED_HITS:
+        return chunks.where(F.col("doc_id").isin([r.doc_id for r in ids.where("doc_id IS NOT NULL").collect()]))
+    return chunks.join(F.broadcast(ids) if n <= BROADCAST_HITS else ids, "doc_id", "left_semi")
+
+
 def boosted(hits: DataFrame) -> DataFrame:
     """hits(score, act, section, doc_type, act_hint, sections) with statute hints added to score."""
     add = score.statute_boost(F.col("act"), F.col("section"), F.col("doc_type"), F.col("act_hint"), F.col("sections"))
@@ -91,19 +106,21 @@ def with_graph(hits: DataFrame, chunks: DataFrame, tables: graph.Graph, queries:
     return hits.select("query_id", "doc_id", "score").unionByName(new).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, options: Options = Options(), tables: graph.Graph | None = None, scorer=None) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, options: Options = Options(), tables: graph.Graph | None = None, scorer=None, found: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the whole chain for a batch of queries.
 
     chunks(doc_id, text, embedding, act, section, doc_type, source_path); queries(query_id, text, vec,
-    act_hint, sections). scorer: a pair scorer for rerank.cross_encoded(), or None.
+    act_hint, sections). scorer: a pair scorer for rerank.cross_encoded(), or None. found: the questions' candidates(),
+    if they are written already.
     """
     meta = chunks.select("doc_id", "text", "embedding", "act", "section", "doc_type", "source_path")
     hints = queries.select("query_id", F.col("text").alias("question"), "vec", "act_hint", "sections")
-    hits = boosted(candidates(chunks, queries, options).join(meta.drop("embedding", "text"), "doc_id").join(hints, "query_id"))
+    found = written(candidates(chunks, queries, options), "candidates") if found is None else found
+    hits = boosted(found.join(rows_of(meta.drop("embedding", "text"), found), "doc_id").join(hints, "query_id"))
     if tables is not None:
         hits = with_graph(ranked(hits), chunks, tables, queries)
-    pool = ranked(hits.select("query_id", "doc_id", "score")).where(F.col("rank") <= max(options.fetch_k, options.k, 30))
-    pool = pool.join(meta, "doc_id").join(hints, "query_id")
+    pool = written(ranked(hits.select("query_id", "doc_id", "score")).where(F.col("rank") <= max(options.fetch_k, options.k, 30)), "pool")
+    pool = pool.join(rows_of(meta, pool), "doc_id").join(hints, "query_id")
     if options.use_mmr:
         pool = rerank.mmr(pool, max(options.k, options.fetch_k // 2), options.mmr_lambda, options.section_penalty, options.case_penalty)
     if scorer is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -62,29 +62,34 @@ def run(chunks: DataFrame, questions: DataFrame, plan: Plan, tables: graph.Graph
     known = written(asked.analysed(questions), "questions")
     live = written(vector.embedded(known.where("rejected IS NULL"), plan.encode, "clean").withColumnRenamed("embedding", "vec"), "live-questions")
     each = live.select("query_id", F.explode("variants").alias("clean_text"))
-    first = hybrid.retrieve(chunks, live.select("query_id", F.col("clean").alias("text"), "vec", "act_hint", "sections"), plan.options, tables, plan.scorer)
-    # Variants are questions of their own whose hits go back to the question they came from.
+    # Variants are questions of their own whose hits go back to the question they came from; one search serves all.
     wide = vector.embedded(each, plan.encode, "clean_text").select(
-        "query_id", F.concat_ws("\u0001", F.col("query_id").cast("string"), "clean_text").alias("variant"), F.col("clean_text").alias("text"), F.col("embedding").alias("vec")
+        "query_id", F.concat_ws("\u0001", F.col("query_id").cast("string"), "clean_text").alias("key"), F.col("clean_text").alias("text"), F.col("embedding").alias("vec"), F.lit(True).alias("variant")
     )
-    more = hybrid.candidates(chunks, wide.select(F.col("variant").alias("query_id"), "text", "vec"), replace(plan.options, exclude_self=False))
-    more = more.withColumnRenamed("query_id", "variant").join(wide.select("variant", "query_id"), "variant")
+    own = live.select("query_id", F.col("query_id").cast("string").alias("key"), F.col("clean").alias("text"), "vec", F.lit(False).alias("variant"))
+    searched = written(own.unionByName(wide), "searched")
+    hits = hybrid.candidates(chunks, searched.select(F.col("key").alias("query_id"), "text", "vec"), plan.options)
+    hits = written(hits.withColumnRenamed("query_id", "key").join(searched.select("key", "query_id", "variant"), "key").drop("key"), "hits")
+    alone = live.select("query_id", F.col("clean").alias("text"), "vec", "act_hint", "sections")
+    first = hybrid.retrieve(chunks, alone, plan.options, tables, plan.scorer, hits.where("NOT variant").drop("variant"))
+    more = hits.where("variant")
     meta = chunks.drop("embedding")
     injected = (
-        asked.injections(live.withColumn("source_hint", F.lit(None).cast("string")))
+        written(asked.injections(live.withColumn("source_hint", F.lit(None).cast("string"))), "injections")
         .join(meta.select("doc_id", "source", "section"), ["source", "section"])
         .withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("at", "doc_id")))
-        .where("_rn <= take")
+        .where((F.col("_rn") <= F.col("take")) & (F.col("_rn") <= asked.MOST_TAKEN))
         .withColumn("score", F.lit(0.0))
     )
-    found = written(merged((first, None), (more, None), (injected, max(plan.pool_least + 0.05, 0.45))), "found")
+    found = merged((first, None), (more, None), (injected, max(plan.pool_least + 0.05, 0.45)))
+    found = written(pooled(found, plan.pool_least, most=plan.pool_rows), "found")
     question = live.select("query_id", F.col("text").alias("question"), "overview")
-    pool = pooled(found, plan.pool_least, most=plan.pool_rows).join(meta, "doc_id").join(question, "query_id")
+    pool = found.join(hybrid.rows_of(meta, found), "doc_id").join(question, "query_id")
     pool = dedup.exact(pool, F.concat_ws("\u0001", F.col("query_id").cast("string"), dedup.doc_key(F.col("doc_id"), F.col("text"))), [F.col("rank")])
     pool = dedup.near_greedy(pool)
     if plan.merge_parents:
         pool = parents.reconstructed(pool)
-    pool = rerank.by_authority(pool, alnum_tokens(F.col("question")))
+    pool = written(rerank.by_authority(pool, alnum_tokens(F.col("question"))), "answer-pool")
     trust = pool.groupBy("query_id").agg(score.context_confidence(F.col("doc_type"), F.col("section")).alias("confidence"))
     brief = context.assembled(pool.where("NOT overview"), plan.most_docs)
     long = context.assembled(pool.where("overview"), plan.most_docs, overview=True)

@@ -21,6 +21,8 @@ from quarry.plans.tables import written
 #: Forms of questions that try to change the rules, and how long a question may be.
 INJECTIONS = [r"ignore.*instruction", r"system.*prompt", r"disregard.*rule", r"override.*constraint"]
 LONGEST = 1000
+#: How many rows of a source injected sections take at most.
+MOST_TAKEN = 24
 
 
 def rejection(question: Column) -> Column:
@@ -168,7 +170,7 @@ def injections(questions: DataFrame, most: int = 6) -> DataFrame:
     every = F.slice(F.array_distinct(F.concat(by_tag, F.coalesce(explicit, F.array().cast("array<struct<source:string,section:string>>")))), 1, most)
     rows = questions.select("query_id", F.posexplode(every).alias("at", "x")).select("query_id", "at", "x.source", "x.section")
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id", "source"))
-    return rows.withColumn("take", F.least(F.lit(24), F.greatest(F.lit(6), 4 * n)))
+    return rows.withColumn("take", F.least(F.lit(MOST_TAKEN), F.greatest(F.lit(6), 4 * n)))
 
 
 def cached_answers(cache: DataFrame, now: Column, days: int = 7, longest: int = LONGEST, most: int = 10_000) -> DataFrame:
